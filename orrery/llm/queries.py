@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, license_scan, quality_rules, toxicity
 from .common import doc_remainder, table
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn, keep=keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(*license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.select("doc_id", "text", "lang").where(doc_remainder(F.col("doc_id"), 4) != 2)
@@ -24,7 +28,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, learn, keep=keep)
 
 
-ORACLE: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.quality_rules(docs.select("doc_id", F.col("text").alias("__text")), text="__text")
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+ORACLE: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op10_quality_rules": quality_rules.oracle()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -32,4 +42,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_license_scan": op4_license_scan,
+        "op8_language_id": op8_language_id,
+        "op10_quality_rules": op10_quality_rules,
+    }

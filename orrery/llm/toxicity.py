@@ -10,8 +10,7 @@ The model is fitted on a bounded sample of labelled rows (``max_train_docs``,
 ``max_train_words``); every whole text is scored.
 
 Defined results: a null or empty text has no features and gets the bias alone;
-labels that are null or conflict for an id are left out or averaged (1 from
-0.5); with no labelled rows, or labels of one class, every score is the share
+rows whose label or id is null are not learned from; with no labelled rows, or labels of one class, every score is the share
 of label 1 (0 without labels).  Repeated rows are scored each.
 """
 
@@ -72,35 +71,46 @@ def fit(docs: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> tuple[np.ndar
     return known[kept], w[1:][kept], float(w[0])
 
 
+def learn(ids: np.ndarray, text: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on texts in order of id; features of fewer than LEAST_DOCS texts are found first, by count of a 24-bit hash, and left out."""
+    order = np.argsort(ids, kind="stable")
+    data, at = flat_utf8(text.take(pa.array(order)))
+    count, mask = np.zeros(1 << 24, np.int32), (1 << 24) - 1
+    for lo, hi in slices(at, 2_000_000):
+        doc, keys = features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        both = np.unique(doc << 32 | keys)
+        count += np.bincount(both & mask, minlength=1 << 24).astype(np.int32)
+    docs, kept = [], []
+    for lo, hi in slices(at, 2_000_000):
+        doc, keys = features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        often = count[keys & mask] >= LEAST_DOCS
+        both = np.unique(doc[often] << 32 | keys[often])
+        docs.append((both >> 32) + lo)
+        kept.append(both & 0xFFFFFFFF)
+    return fit(np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *kept]), labels[order].astype(float))
+
+
 def train(labelled: DataFrame, *, text: str, label: str, key: str, max_train_docs: int, max_train_words: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on rows of (key, text, label); of more rows than the bounds allow, a sample by hash of the key."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("double").alias("y"))
+    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.length("t") <= max_train_words)
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     part = min(1.0, max_train_docs / max(n, 1), max_train_words * 6 / max(chars, 1))
     rows = rows.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < int(part * 1_000_000))
 
     def emit(batches):
-        for b in batches:
-            data, at = flat_utf8(b.column("t"))
-            ids, y = b.column("k").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False)
-            for lo, hi in slices(at, 4_000_000):
-                doc, keys = features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                pairs = np.unique(np.stack([doc, keys]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                doc = np.concatenate([pairs[0], np.arange(hi - lo)]) + lo
-                f = np.concatenate([pairs[1], np.full(hi - lo, -1)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc].astype(np.int64)), pa.array(f), pa.array(y[doc])], ["k", "f", "y"])
-
-    cells = rows.mapInArrow(emit, "k long, f long, y double").groupBy("k", "f").agg(F.avg("y").alias("y"))
-    common = cells.groupBy("f").agg(F.count("*").alias("c")).where(f"c >= {LEAST_DOCS} or f = -1").select("f")
-    found = cells.join(common, "f").toArrow()
-    k, f, y = (found.column(c).to_numpy() for c in ("k", "f", "y"))
-    order = np.lexsort((f, k))
-    k, f, y = k[order], f[order], y[order]
-    ids, doc = np.unique(k, return_inverse=True)
-    labels = np.zeros(len(ids))
-    labels[doc[f == -1]] = y[f == -1] >= 0.5
-    return fit(doc[f >= 0], f[f >= 0], labels)
+        found = [b for b in batches if b.num_rows]
+        if found:
+            t = pa.Table.from_batches(found)
+            keys, weights, bias = learn(t.column("k").to_numpy(), t.column("t").combine_chunks(), t.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(weights, bias))], ["k", "w"])
+
+    # The sample is bounded, so one task holds it; only weights that are not 0 come back.
+    got = rows.repartition(1).mapInArrow(emit, "k long, w double").toArrow()
+    k, w = got.column("k").to_numpy(), got.column("w").to_numpy()
+    if not len(k):
+        return np.zeros(0, np.int64), np.zeros(0), -40.0
+    return k[:-1], w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text: str, keep: dict[str, Column]) -> DataFrame:
@@ -133,7 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text:
     return rows.mapInArrow(emit, out)
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 16_000, max_train_words: int = 12_000_000) -> DataFrame:
+def toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 16_000, max_train_words: int = 6_000_000) -> DataFrame:
     """Learn from ``labelled`` (key, text, label 0 or 1) and score every text of ``docs``."""
     model = train(labelled, text=text, label=label, key=key, max_train_docs=max_train_docs, max_train_words=max_train_words)
     return score(docs, model, text=text, keep=keep or {key: F.col(key)})
