@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, quality_rules, toxicity
+from . import language_id, license_scan, line_dedup, packing, quality_rules, toxicity
 from .common import doc_remainder, table
 
 
@@ -17,10 +17,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn, keep=keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__removed_words").alias("removed_words"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(*license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(packing.tokens(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.select("doc_id", "text", "lang").where(doc_remainder(F.col("doc_id"), 4) != 2)
@@ -44,7 +53,9 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_line_dedup": op2_line_dedup,
         "op4_license_scan": op4_license_scan,
+        "op6_packing": op6_packing,
         "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
