@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, line_dedup, packing, quality_rules, toxicity
+from . import language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, topk_search, toxicity
 from .common import doc_remainder, table
 
 
@@ -22,10 +22,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__removed_words").alias("removed_words"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(*license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.tokens(table(spark, sf_dir, "documents")))
 
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-ORACLE: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op10_quality_rules": quality_rules.oracle()}
+ORACLE: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op5_topk_search": topk_search.oracle(), "op10_quality_rules": quality_rules.oracle()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -54,7 +62,9 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_line_dedup": op2_line_dedup,
+        "op3_ngram_join": op3_ngram_join,
         "op4_license_scan": op4_license_scan,
+        "op5_topk_search": op5_topk_search,
         "op6_packing": op6_packing,
         "op8_language_id": op8_language_id,
         "op10_quality_rules": op10_quality_rules,
