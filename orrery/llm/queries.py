@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, topk_search, toxicity
+from . import bpe, language_id, lattice_lm, license_scan, line_dedup, ngram_join, packing, quality_rules, topk_search, toxicity
 from .common import doc_remainder, table
 
 
@@ -38,6 +38,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.tokens(table(spark, sf_dir, "documents")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = doc_remainder(F.col("doc_id"), 5) == 1
+    return lattice_lm.lm_score(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("piece_bpe_32k.model"), keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.select("doc_id", "text", "lang").where(doc_remainder(F.col("doc_id"), 4) != 2)
@@ -45,6 +52,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, learn, keep=keep)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.quality_rules(docs.select("doc_id", F.col("text").alias("__text")), text="__text")
@@ -66,6 +79,8 @@ def queries() -> dict:
         "op4_license_scan": op4_license_scan,
         "op5_topk_search": op5_topk_search,
         "op6_packing": op6_packing,
+        "op7_lm_score": op7_lm_score,
         "op8_language_id": op8_language_id,
+        "op9_bpe": op9_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
