@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+from .plans import lightcurves
+
+QUERIES: dict = {**lightcurves.QUERIES}
 
 
 def queries() -> dict:
