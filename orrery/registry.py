@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import lightcurves
+from .plans import catalogs, lightcurves, scores
 
-QUERIES: dict = {**lightcurves.QUERIES}
+QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES}
 
 
 def queries() -> dict:
