@@ -16,42 +16,42 @@ def curve(counts: DataFrame, *, by: list[str], score: str = "score") -> DataFram
     """Cumulative true and false positives from the highest score down, and totals."""
     order = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*by)
-    return counts.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("n").over(order), "P": F.sum("p").over(every), "N": F.sum("n").over(every)})
+    return counts.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("n").over(order), "pos": F.sum("p").over(every), "neg": F.sum("n").over(every)})
 
 
 def auroc(pred: DataFrame, *, by: list[str]) -> DataFrame:
     """Area under the ROC curve; ties count a half; null with one class only."""
     c = curve(score_counts(pred, by=by), by=by)
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
-    return c.groupBy(*by).agg(F.when((F.max("P") > 0) & (F.max("N") > 0), area / (F.max("P") * F.max("N"))).alias("auroc"))
+    return c.groupBy(*by).agg(F.when((F.max("pos") > 0) & (F.max("neg") > 0), area / (F.max("pos") * F.max("neg"))).alias("auroc"))
 
 
 def auprc(pred: DataFrame, *, by: list[str]) -> DataFrame:
     """Average precision with tied scores taken together."""
     c = curve(score_counts(pred, by=by), by=by)
-    return c.groupBy(*by).agg(F.when(F.max("P") > 0, F.sum(F.col("p") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
+    return c.groupBy(*by).agg(F.when(F.max("pos") > 0, F.sum(F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("auprc"))
 
 
 def at_thresholds(pred: DataFrame, steps: int, *, by: list[str]) -> DataFrame:
-    """tp, fp, P, N at each threshold k / steps (score >= threshold), from bin counts and one running sum."""
+    """tp, fp, pos, neg at each threshold k / steps (score >= threshold), from bin counts and one running sum."""
     binned = pred.where(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("k", F.floor(F.col("score") * steps + 1e-9).cast("int"))
     counts = binned.groupBy(*by, "k").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     spine = counts.select(*by).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     filled = spine.join(counts, [*by, "k"], "left").fillna(0, ["p", "n"])
     order = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*by)
-    return filled.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("n").over(order), "P": F.sum("p").over(every), "N": F.sum("n").over(every)}).withColumn("threshold", F.col("k") / F.lit(float(steps)))
+    return filled.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("n").over(order), "pos": F.sum("p").over(every), "neg": F.sum("n").over(every)}).withColumn("threshold", F.col("k") / F.lit(float(steps)))
 
 
 def best_f1(pred: DataFrame, *, by: list[str], steps: int = 100) -> DataFrame:
     t = at_thresholds(pred, steps, by=by)
-    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))).otherwise(0.0)
+    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos"))).otherwise(0.0)
     return t.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("k")).alias("k"))).alias("b")).select(*by, F.col("b.f1").alias("f1"), (-F.col("b.k") / F.lit(float(steps))).alias("threshold"))
 
 
 def threshold_for_recall(pred: DataFrame, target: float, *, by: list[str], steps: int = 1000) -> DataFrame:
     """The highest threshold whose recall reaches the target, else the one of best recall."""
-    t = at_thresholds(pred, steps, by=by).withColumn("recall", F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0))
+    t = at_thresholds(pred, steps, by=by).withColumn("recall", F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(0.0))
     return t.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("recall") >= target, F.col("threshold"))), F.max_by("threshold", F.struct("recall", "threshold"))).alias("threshold"))
 
 
