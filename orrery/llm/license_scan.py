@@ -2,7 +2,7 @@
 
 A block is ``BLOCK`` consecutive words, every half block anew, so that any span
 of half a block lies whole in one.  A block meets a template if it holds at
-least ``CONTAINMENT`` of the template's distinct words.
+least ``CONTAINMENT`` of the template's distinct words, and five at least.
 
 Template words are ordered by how many documents hold them, rarest first.
 Prefix filter: with n words of which m are needed, a block that meets the
@@ -41,8 +41,6 @@ TEMPLATES = (
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-notice"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("released under the mit license", "mit-notice"),
@@ -50,9 +48,9 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("all rights reserved", "all-rights-reserved"),
 )
 CONTAINMENT = 0.8
+LEAST_SHARED = 5
 BLOCK = 64
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -63,7 +61,9 @@ def words(text: Column) -> Column:
 
 
 def needed(template: str, containment: float) -> int:
-    return math.ceil(containment * len(set(template.split())) - 1e-9)
+    """Distinct words that a block must share: the containment's part, and ``LEAST_SHARED`` where the template has as many."""
+    n = len(set(template.split()))
+    return max(math.ceil(containment * n - 1e-9), min(n, LEAST_SHARED))
 
 
 def strings(values) -> Column:
