@@ -143,7 +143,7 @@ def digests(spark, d):
 
 def transient_types(spark, d):
     p = load(spark, d, "part").select("p_partkey", F.lower("p_type").alias("t"))
-    kind = F.when(F.col("t").contains("steel"), "SNIa").when(F.col("t").contains("brass"), "KN").when(F.col("t").contains("tin"), "TDE").otherwise(F.regexp_replace("t", "[^a-z0-9]+", "_"))
+    kind = F.when(F.col("t").contains("small"), "SNIa").when(F.col("t").contains("promo"), "KN").when(F.col("t").contains("large"), "TDE").otherwise(F.regexp_replace("t", "[^a-z0-9]+", "_"))
     return p.select("p_partkey", kind.alias("kind"))
 
 
@@ -203,7 +203,7 @@ QUERIES = {
     "text_event_uid": (uid, "select o_orderkey, o_orderstatus || '_test' as stream, o_orderkey as id from orders"),
     "text_detectors": (detectors, "select s_suppkey, case s_suppkey % 4 when 0 then 3 else 2 end as n, s_suppkey % 4 in (0, 1) as valid from supplier"),
     "text_digest": (digests, "select n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) as digest from nation"),
-    "text_transient_type": (transient_types, "select p_partkey, case when lower(p_type) like '%steel%' then 'SNIa' when lower(p_type) like '%brass%' then 'KN' when lower(p_type) like '%tin%' then 'TDE' else regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') end as kind from part"),
+    "text_transient_type": (transient_types, "select p_partkey, case when lower(p_type) like '%small%' then 'SNIa' when lower(p_type) like '%promo%' then 'KN' when lower(p_type) like '%large%' then 'TDE' else regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') end as kind from part"),
     "text_page_url": (urls, "select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, len(string_split(url, '/'))::int as parts from pages"),
     "text_condition_token": (tokens, "select event_id, 'dt' || replace(printf('%.2f', abs(value)), '.', 'p') as condition, 8 as total from events"),
     "catalog_code_table": (code_table, "select o_orderpriority, (dense_rank() over (order by o_orderpriority) - 1)::int as code from (select distinct o_orderpriority from orders)"),

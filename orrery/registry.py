@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalogs, joins, lightcurves, scores
+from .plans import catalogs, extras, joins, lightcurves, scores
 
-QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES}
+QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES, **extras.QUERIES}
 
 
 def queries() -> dict:
