@@ -10,7 +10,8 @@ The model is fitted on a bounded sample of labelled rows (``max_train_docs``,
 ``max_train_words``); every whole text is scored.
 
 Defined results: a null or empty text has no features and gets the bias alone;
-rows whose label or id is null are not learned from; with no labelled rows, or labels of one class, every score is the share
+labels without id or value are
+not learned from, and an id with several labels has the largest; with no labelled rows, or labels of one class, every score is the share
 of label 1 (0 without labels).  Repeated rows are scored each.
 """
 
@@ -90,13 +91,17 @@ def learn(ids: np.ndarray, text: pa.Array, labels: np.ndarray) -> tuple[np.ndarr
     return fit(np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int64), *kept]), labels[order].astype(float))
 
 
-def train(labelled: DataFrame, *, text: str, label: str, key: str, max_train_docs: int, max_train_words: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on rows of (key, text, label); of more rows than the bounds allow, a sample by hash of the key."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    rows = rows.where(F.length("t") <= max_train_words)
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
-    part = min(1.0, max_train_docs / max(n, 1), max_train_words * 6 / max(chars, 1))
-    rows = rows.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000)) < int(part * 1_000_000))
+def train(docs: DataFrame, labels: DataFrame, *, text: str, label: str, key: str, max_train_docs: int, max_train_words: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on the texts of labelled ids; of more than the bounds allow, a sample by hash of the id.
+
+    The sample of (key, label) is drawn first, so the table that meets the texts has a bounded number of rows.
+    """
+    few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    draw = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000))
+    few = few.where(draw < int(1_000_000 * min(1.0, max_train_docs / max(few.count(), 1))))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(few), "k").where(F.length("t") <= max_train_words)
+    chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    rows = rows.where(F.pmod(F.xxhash64("k", F.lit(12)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_words * 6 / max(chars, 1))))
 
     def emit(batches):
         found = [b for b in batches if b.num_rows]
@@ -143,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text:
     return rows.mapInArrow(emit, out)
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 16_000, max_train_words: int = 6_000_000) -> DataFrame:
-    """Learn from ``labelled`` (key, text, label 0 or 1) and score every text of ``docs``."""
-    model = train(labelled, text=text, label=label, key=key, max_train_docs=max_train_docs, max_train_words=max_train_words)
+def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 16_000, max_train_words: int = 6_000_000) -> DataFrame:
+    """Learn from the texts of the ids in ``labels`` (key, label 0 or 1) and score every text of ``docs``."""
+    model = train(docs, labels, text=text, label=label, key=key, max_train_docs=max_train_docs, max_train_words=max_train_words)
     return score(docs, model, text=text, keep=keep or {key: F.col(key)})
