@@ -35,9 +35,9 @@ _U = np.uint64
 SPANS = "doc long, first int, last int, mark long, span long, at int"
 
 
-def split(text: str) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
-    """The lines of a text; the numbers, hashes and word counts of those with a word."""
-    lines = text.split("\n")
+def split(text: str) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
+    """The lines of a text; the numbers, hashes and word counts of those with a word (ASCII white space parts words)."""
+    lines = text.encode().split(b"\n")
     kept, hashes, counts = [], [], []
     for k, line in enumerate(lines):
         n = len(line.split())
@@ -128,9 +128,28 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
                 lost.append(int(counts[out].sum()) if len(kept) else 0)
                 if gone[-1]:
                     drop = {kept[i] for i in np.flatnonzero(out)}
-                    left = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-                    texts[k] = left if left.strip() else ""
+                    left = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
+                    texts[k] = left.decode() if left.strip() else ""
             arrays = [pa.array(texts, b.schema.field(text).type) if c == text else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__removed", "__removed_words"])
 
     return joined.mapInArrow(emit, schema)
+
+
+def oracle(min_words: int = 50) -> str:
+    """The same in DuckDB SQL: every span against every earlier one of equal text."""
+    return f"""with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+    l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d),
+    w as (select *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n from l),
+    k as (select *, row_number() over (partition by doc_id order by i) - 1 as p, sum(n) over (partition by doc_id order by i) as c from w where n > 0),
+    g as (select doc_id, list(t order by p) as ts from k group by doc_id),
+    sp as (select doc_id, a.p as s, b.p as e, array_to_string(ts[a.p + 1:b.p + 1], chr(10)) as g from k a join k b using (doc_id) join g using (doc_id)
+      where a.p <= b.p and b.c - a.c + a.n >= {min_words} and (b.c - a.c + a.n - b.n < {min_words} or b.c - a.c < {min_words})),
+    later as (select * from (select *, row_number() over (partition by g order by doc_id, s) as r from sp) where r > 1),
+    cut as (select distinct doc_id, i, n from later join k using (doc_id) where p between s and e),
+    gone as (select doc_id, count(*) as n, sum(n) as words from cut group by doc_id),
+    rest as (select doc_id, string_agg(line, chr(10) order by i) as t from l anti join cut using (doc_id, i) group by doc_id),
+    size as (select doc_id, count(*) as n from k group by doc_id)
+    select doc_id, coalesce(size.n, 0)::bigint as n_lines, coalesce(gone.n, 0)::bigint as n_removed, coalesce(words, 0)::bigint as removed_words,
+      sha256(case when gone.n is null then text when regexp_matches(t, '[^\\x20\\x09-\\x0D]') then t else '' end) as text_sha256
+    from documents left join size using (doc_id) left join gone using (doc_id) left join rest using (doc_id)"""

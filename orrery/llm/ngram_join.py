@@ -218,3 +218,19 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thre
     alone = F.col("doc_id")
     ids = rows.select(F.col("doc").alias("doc_id")).distinct().join(out, F.col("doc_id") == F.col("doc"), "left")
     return ids.select("doc_id", F.coalesce("class", alone).alias("class_id"), F.coalesce("rep", alone).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def oracle() -> str:
+    """The same by brute force in DuckDB SQL: shared n-grams of all pairs, and the closure of the links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents where doc_id is not null),
+    g as (select distinct doc_id, array_to_string(w[i:i + {N - 1}], ' ') as gram from d, unnest(range(1, greatest(1, len(w) - {N - 1}) + 1)) as u(i) where len(w) > 0),
+    n as (select doc_id, count(*) as n from g group by doc_id),
+    x as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b using (gram) where a.doc_id <> b.doc_id group by all),
+    l as (select a, b from x join n p on p.doc_id = a join n q on q.doc_id = b where shared >= {THRESHOLD} * (p.n + q.n - shared)),
+    r as (select distinct a as doc_id, a as other from l union select r.doc_id, l.b from r join l on r.other = l.a),
+    c as (select doc_id, min(other) as class from r group by doc_id),
+    s as (select doc_id, min(doc_id) over (partition by w) as copy from d where len(w) > 0),
+    k as (select a as doc_id, count(*) as links from l group by a)
+    select doc_id, coalesce(class, doc_id) as class_id, coalesce(copy, doc_id) as copy_of, coalesce(links, 0)::bigint as n_links
+    from d left join c using (doc_id) left join s using (doc_id) left join k using (doc_id)"""

@@ -63,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-ORACLE: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op5_topk_search": topk_search.oracle(), "op10_quality_rules": quality_rules.oracle()}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.oracle(), "op3_ngram_join": ngram_join.oracle(), "op4_license_scan": license_scan.oracle(), "op5_topk_search": topk_search.oracle(), "op10_quality_rules": quality_rules.oracle()}
 
 
 def oracle_sql() -> dict[str, str]:
