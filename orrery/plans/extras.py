@@ -87,7 +87,7 @@ QUERIES = {
         from (select *, 4 * pi() * pow(s / (2 * sqrt(2 * ln(cast(2.0 as double)))), 2) as area from (select p_partkey, cast(p_size as double) / 40 + 0.5 as s, 22 + cast(p_partkey % 30 as double) / 10 as m5, 19 + cast(p_partkey % 17 as double) / 10 as sky from {part}) a) b) c"""
     ),
     "prj_time_shift": both("select o_orderkey, round(case when abs(dt) < 20 then dt + 0.25 * cast(o_custkey % 4 as double) else 0 end, 6) as t from (select *, cast(" + DT + " as double) as dt from {orders}) a"),
-    "prj_reanchor": both("select a.o_orderkey, round(a.o_totalprice + (b.p - a.o_totalprice / 2), 1) as t from {orders} a join (select o_custkey, avg(o_totalprice) as p from {orders} group by o_custkey) b on a.o_custkey = b.o_custkey"),
+    "prj_reanchor": both("select a.o_orderkey, round(a.o_totalprice + (b.p - a.o_totalprice / 2) + 0.00001, 2) as t from {orders} a join (select o_custkey, avg(o_totalprice) as p from {orders} group by o_custkey) b on a.o_custkey = b.o_custkey"),
     "flt_prefix_exclude": both("select p_partkey, p_name from {part} where not starts_with(lower(coalesce(p_name, '')), 'red')", spark={"starts_with": "startswith"}),
     "flt_sentinel": both("select o_orderkey, case when v <= 0 or v >= 300000 then null else v end as v from (select o_orderkey, o_totalprice - 1000 as v from {orders}) a where not (v <= 0 or v >= 300000)"),
     "flt_finite_count": both("select count(*) as n, cast(count_if(l_discount > 0) as bigint) as usable, cast(sum(case when l_discount > 0 then 0 else 1 end) as bigint) as dropped from {lineitem}"),
