@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import release, staged
 from .word_table import counted, least_count
 
+#: Words whose ids are broadcast, at most; the others' ids are joined.
+COMMON = 500_000
 #: Python's white space but not the tokenizer's.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 
@@ -92,8 +94,10 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: dict[str, Co
     spark = docs.sparkSession
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id())
     table = staged(encoded(counted(rows, split), path), "encoded")
-    least = least_count(table)
-    common = table.where(F.col("n") >= least).select("word", "ids").toArrow()
+    release(spark)
+    least = least_count(table, COMMON)
+    # Commonest first: small numbers for most words make short texts of places.
+    common = table.where(F.col("n") >= least).select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     held = spark.sparkContext.broadcast((common.column("word").to_pylist(), common.column("ids").to_pylist()))
     t = tokenizer(path)
     pieces = spark.sparkContext.broadcast([(t.id_to_token(i) or "") for i in range(t.get_vocab_size(with_added_tokens=True))])

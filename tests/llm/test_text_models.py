@@ -25,8 +25,7 @@ def test_bpe_equals_the_library(spark, monkeypatch):
     r = random.Random(1)
     chars = "abcAB12'.,é́Kßσς  \x1c\x85 \n\t<|>"
     texts = ODD + ["".join(r.choices(chars, k=r.randint(1, 60))) for _ in range(150)]
-    monkeypatch.setattr("orrery.llm.word_table.COMMON", 20)
-    monkeypatch.setattr(bpe, "least_count", lambda table: 4)
+    monkeypatch.setattr(bpe, "least_count", lambda table, most: 4)
     got = bpe.encode(table(spark, texts), path).collect()
     assert len(got) == len(texts) + 3
     for row in got:
