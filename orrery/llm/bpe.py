@@ -30,7 +30,7 @@ from .common import release, staged
 from .word_table import counted, least_count
 
 #: Words whose ids are broadcast, at most; the others' ids are joined.
-COMMON = 500_000
+COMMON = 800_000
 #: Python's white space but not the tokenizer's.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -48,10 +49,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of results that were staged and are no longer referred to.
 
-    It does so when the driver's garbage is collected, which may be late in a job that makes little of it.
+    It does so when the driver's garbage is collected, which may be late in a job that makes little of it;
+    what holds a shuffle goes in a first round, the shuffle in a second.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def doc_remainder(column: Column, modulus: int) -> Column:
