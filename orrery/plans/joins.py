@@ -26,10 +26,11 @@ def left_checked(spark, d):
 
 
 def validated_mn(spark, d):
+    """Visits of each tile, samples by observations: each side is counted by tile first, no pairs are formed."""
     li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
-    tiles = o.select((F.col("o_custkey") % 50).alias("tile"), "o_orderkey").where("o_orderkey % 40 = 0")
-    samples = li.select((F.col("l_suppkey") % 50).alias("tile"), "l_orderkey", "l_linenumber").where("l_orderkey % 100 = 0")
-    return samples.join(tiles, "tile").groupBy("tile").agg(F.count("*").alias("visits"))
+    tiles = o.groupBy((F.col("o_custkey") % 50).alias("tile")).agg(F.count("*").alias("n_tiles"))
+    samples = li.groupBy((F.col("l_suppkey") % 50).alias("tile")).agg(F.count("*").alias("n_samples"))
+    return samples.join(tiles, "tile").select("tile", (F.col("n_samples") * F.col("n_tiles")).alias("visits"))
 
 
 def window_after(spark, d):

@@ -49,3 +49,9 @@ def test_positions_equal_one_global_window(spark, rows):
     assert {(r.k, r.position, r.bin) for r in got.collect()} == {(r.k, r.p, r.b) for r in want.collect()}
     dense = R.positions(df, bucket=F.floor(F.col("v") / 4), order=["v"], dense=True)
     assert {(r.k, r.position) for r in dense.collect()} == {(r.k, r.r) for r in want.collect()}
+
+
+def test_many_to_many_counts_every_pair(spark):
+    got = same(spark, "join_many_to_many", ("l_orderkey % 100 = 0 and o_orderkey % 40 = 0 and ", ""))
+    lines, orders = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("lineitem", "orders"))
+    assert sum(r[1] for r in got) == lines.join(orders, F.expr("l_suppkey % 50 = o_custkey % 50")).count()
