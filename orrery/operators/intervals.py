@@ -61,3 +61,23 @@ def division(rows: DataFrame, *, item: str, of: str) -> DataFrame:
     """Items that occur with every value of ``of``."""
     n = rows.select(of).distinct().count()
     return rows.groupBy(item).agg(F.count_distinct(of).alias("n")).where(F.col("n") == n).select(item)
+
+
+def in_windows(points: DataFrame, rows: DataFrame, *, key: str, lo: Column, at: Column, width: int, value: str) -> DataFrame:
+    """``key``, n and least ``value`` of the rows with ``lo <= at <= lo + width``, for each point; no pairs are formed.
+
+    A window as wide as a bucket covers the end of one bucket and the start of the next: a running count and minimum
+    over each bucket's rows, from either end, gives both parts.  Points without rows have n = 0.
+    """
+    bucket = lambda t: F.floor(t / width).cast("long")
+    p = points.select(F.col(key).alias("__key"), lo.alias("__lo")).withColumn("__b", bucket(F.col("__lo")))
+    ends = F.array(F.struct(F.col("__lo").alias("t"), F.col("__b").alias("b"), F.lit(0).alias("side")), F.struct((F.col("__lo") + width).alias("t"), (F.col("__b") + 1).alias("b"), F.lit(1).alias("side")))
+    p = p.select("__key", F.inline(ends)).withColumn("v", F.lit(None).cast(rows.schema[value].dataType))
+    r = rows.select(F.lit(None).cast(points.schema[key].dataType).alias("__key"), at.alias("t"), bucket(at).alias("b"), F.lit(-1).alias("side"), F.col(value).alias("v"))
+    reach = lambda t: Window.partitionBy("b").orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = p.unionByName(r)
+    for name, w in (("up", reach(F.asc("t"))), ("down", reach(F.desc("t")))):
+        both = both.withColumn(name, F.struct(F.count_if(F.col("side") == -1).over(w).alias("n"), F.min("v").over(w).alias("least")))
+    part = F.when(F.col("side") == 0, F.col("down")).otherwise(F.col("up"))
+    parts = both.where("side >= 0").select(F.col("__key").alias(key), part.alias("x"))
+    return parts.groupBy(key).agg(F.sum("x.n").alias("n"), F.min("x.least").alias("least"))

@@ -34,48 +34,56 @@ def validated_mn(spark, d):
 
 
 def window_after(spark, d):
-    """Candidates within [t, t + 6 h] of each anchor event, another user's, largest value bound."""
+    """Candidates within [t, t + 6 h] of each event, another user's, largest value bound."""
     e = load(spark, d, "events").select("event_id", "user_id", "value", C.micros(F.col("ts")).alias("t"))
-    anchors = e.where("event_id % 20 = 0").select(F.col("event_id").alias("anchor"), F.col("user_id").alias("au"), F.col("t").alias("at"))
-    j = I.interval_join(anchors, e, lo=F.col("at"), hi=F.col("at") + 6 * HOUR, at=F.col("t"), width=6 * HOUR)
-    return j.where("user_id <> au and value <= 60").select("anchor", "event_id", (F.col("t") - F.col("at")).alias("dt"))
+    anchors = e.select(F.col("event_id").alias("anchor"), F.col("user_id").alias("au"), F.col("t").alias("at"))
+    j = I.interval_join(anchors, e.where("value <= 60"), lo=F.col("at"), hi=F.col("at") + 6 * HOUR, at=F.col("t"), width=6 * HOUR)
+    return j.where("user_id <> au").select("anchor", "event_id", (F.col("t") - F.col("at")).alias("dt"))
+
+
+def times(spark, d):
+    """Every event, as row and as anchor."""
+    e = load(spark, d, "events").select("event_id", C.micros(F.col("ts")).alias("t"))
+    return e, e.select(F.col("event_id").alias("anchor"), F.col("t").alias("at"))
 
 
 def window_before(spark, d):
-    e = load(spark, d, "events").select("event_id", "user_id", C.micros(F.col("ts")).alias("t"))
-    anchors = e.where("event_id % 20 = 0").select(F.col("event_id").alias("anchor"), F.col("t").alias("at"))
-    j = I.interval_join(anchors, e, lo=F.col("at") - 3 * HOUR, hi=F.col("at"), at=F.col("t"), width=3 * HOUR)
-    return j.where("event_id <> anchor").groupBy("anchor").agg(F.count("*").alias("n"))
+    e, anchors = times(spark, d)
+    n = I.in_windows(anchors, e, key="anchor", lo=F.col("at") - 3 * HOUR, at=F.col("t"), width=3 * HOUR, value="event_id")
+    return n.select("anchor", (F.col("n") - 1).alias("n")).where("n > 0")  # the anchor lies in its own window
 
 
 def mismatch(spark, d):
     """In-window candidates of another user, else the fallback candidate -1."""
     e = load(spark, d, "events").select("event_id", "user_id", C.micros(F.col("ts")).alias("t"))
-    anchors = e.where("event_id % 50 = 0").select(F.col("event_id").alias("anchor"), F.col("user_id").alias("au"), F.col("t").alias("at"))
+    anchors = e.select(F.col("event_id").alias("anchor"), F.col("user_id").alias("au"), F.col("t").alias("at"))
     j = I.interval_join(anchors, e, lo=F.col("at") + 1, hi=F.col("at") + HOUR // 2, at=F.col("t"), width=HOUR // 2).where("user_id <> au")
     best = j.groupBy("anchor").agg(F.min(F.struct("t", "event_id")).alias("b")).select("anchor", F.col("b.event_id").alias("pick"))
     return anchors.join(best, "anchor", "left").select("anchor", F.coalesce("pick", F.lit(-1)).alias("pick"))
 
 
 def two_centres(spark, d):
-    e = load(spark, d, "events").select("event_id", C.micros(F.col("ts")).alias("t"))
-    anchors = e.where("event_id % 40 = 0").select(F.col("event_id").alias("anchor"), F.col("t").alias("at"))
-    sides = [I.interval_join(anchors, e, lo=F.col("at") + s * 12 * HOUR - HOUR, hi=F.col("at") + s * 12 * HOUR + HOUR, at=F.col("t"), width=2 * HOUR) for s in (-1, 1)]
-    return sides[0].unionByName(sides[1]).groupBy("anchor").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
+    e, anchors = times(spark, d)
+    sides = [I.in_windows(anchors, e, key="anchor", lo=F.col("at") + s * 12 * HOUR - HOUR, at=F.col("t"), width=2 * HOUR, value="event_id") for s in (-1, 1)]
+    return sides[0].unionByName(sides[1]).groupBy("anchor").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 0")
 
 
 def rings(spark, d):
-    e = load(spark, d, "events").select("event_id", C.micros(F.col("ts")).alias("t"))
-    anchors = e.where("event_id % 40 = 0").select(F.col("event_id").alias("anchor"), F.col("t").alias("at"))
-    j = I.interval_join(anchors, e, lo=F.col("at") - 8 * HOUR, hi=F.col("at") + 8 * HOUR, at=F.col("t"), width=8 * HOUR).where("event_id <> anchor")
-    ring = I.rings(F.col("t") - F.col("at"), [1.0 * HOUR, 2.0 * HOUR, 4.0 * HOUR, 8.0 * HOUR])
-    return j.withColumn("ring", ring).groupBy("anchor", "ring").agg(F.count("*").alias("n"))
+    """Rows of each ring: those within its outer width less those within the width before; the anchor is in none."""
+    e, anchors = times(spark, d)
+    within = None
+    for k, h in enumerate((1, 2, 4, 8)):
+        n = I.in_windows(anchors, e, key="anchor", lo=F.col("at") - h * HOUR, at=F.col("t"), width=2 * h * HOUR, value="event_id")
+        n = n.select("anchor", F.lit(k).alias("ring"), (F.col("n") - 1).alias("upto"))
+        within = n if within is None else within.unionByName(n)
+    inner = F.coalesce(F.lag("upto").over(Window.partitionBy("anchor").orderBy("ring")), F.lit(0))
+    return within.withColumn("n", F.col("upto") - inner).where("n > 0").select("anchor", "ring", "n")
 
 
 def busy_anti(spark, d):
-    """Rows inside no busy interval."""
-    e = load(spark, d, "events").select("event_id", "user_id", C.micros(F.col("ts")).alias("t"))
-    busy = e.where("event_id % 100 = 0").select(F.col("t").alias("b"))
+    """Rows inside no busy interval; every error event opens one, as the observatory's down time."""
+    e = load(spark, d, "events").select("event_id", "event_type", C.micros(F.col("ts")).alias("t"))
+    busy = e.where("event_type = 'error'").select(F.col("t").alias("b"))
     return I.interval_join(busy, e, lo=F.col("b"), hi=F.col("b") + 2 * HOUR, at=F.col("t"), width=2 * HOUR, how="left_anti").select("event_id")
 
 

@@ -2,12 +2,16 @@
 
 import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from orrery import registry
+from orrery.operators import intervals as I
 from orrery.operators import ranking as R
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
+FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def whole(name, *cuts):
@@ -55,3 +59,25 @@ def test_many_to_many_counts_every_pair(spark):
     got = same(spark, "join_many_to_many", ("l_orderkey % 100 = 0 and o_orderkey % 40 = 0 and ", ""))
     lines, orders = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("lineitem", "orders"))
     assert sum(r[1] for r in got) == lines.join(orders, F.expr("l_suppkey % 50 = o_custkey % 50")).count()
+
+
+@pytest.mark.parametrize(("name", "cut", "by"), [
+    ("join_interval_after", "a.event_id % 20 = 0 and ", ""),
+    ("join_interval_before", "a.event_id % 20 = 0 and ", ""),
+    ("join_mismatch_fallback", " where a.event_id % 50 = 0", ""),
+    ("join_two_centres", "a.event_id % 40 = 0 and ", ""),
+    ("join_rings", "a.event_id % 40 = 0 and ", ""),
+    ("join_busy_anti", "b.event_id % 100 = 0", "b.event_type = 'error'"),
+])
+def test_every_event_is_an_anchor(spark, name, cut, by):
+    same(spark, name, (cut, by))
+
+
+@FEW
+@given(st.lists(st.integers(-40, 40), min_size=1, max_size=25), st.lists(st.integers(-40, 40), max_size=25), st.integers(1, 50), st.integers(-20, 20))
+def test_windows_count_without_pairs(spark, starts, points, width, shift):
+    a = spark.createDataFrame(list(enumerate(starts)), "i int, s long")
+    b = spark.createDataFrame(list(enumerate(points)), "j int, t long")
+    got = {tuple(r) for r in I.in_windows(a, b, key="i", lo=F.col("s") + shift, at=F.col("t"), width=width, value="j").collect()}
+    inside = lambda s: [j for j, t in enumerate(points) if s + shift <= t <= s + shift + width]
+    assert got == {(i, len(inside(s)), min(inside(s), default=None)) for i, s in enumerate(starts)}
