@@ -120,7 +120,7 @@ def caliper(spark, d):
 def knn_parents(spark, d):
     """Three nearest vectors of different label for each query, one for each label."""
     e = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id % 40 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"), (F.col("vec_id") % 4).alias("b"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"), (F.floor(F.col("vec_id") / 20) % 4).alias("b"))
     r = e.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).join(q, "b").where("label <> ql")
     dist = F.round(F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / 64), 9)
     best = r.groupBy("q", "label").agg(F.min(F.struct(dist.alias("d"), "vec_id")).alias("m"))

@@ -81,3 +81,10 @@ def test_windows_count_without_pairs(spark, starts, points, width, shift):
     got = {tuple(r) for r in I.in_windows(a, b, key="i", lo=F.col("s") + shift, at=F.col("t"), width=width, value="j").collect()}
     inside = lambda s: [j for j, t in enumerate(points) if s + shift <= t <= s + shift + width]
     assert got == {(i, len(inside(s)), min(inside(s), default=None)) for i, s in enumerate(starts)}
+
+
+@pytest.mark.parametrize(("name", "cut"), [("emb_knn_distinct_parent", "q.vec_id % 40 = 0"), ("ret_embedding_metrics", "q.vec_id % 25 = 0")])
+def test_every_twentieth_vector_is_a_query(spark, name, cut):
+    got = same(spark, name, (cut, "q.vec_id % 20 = 0"))
+    ids = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r[0] for r in got} <= ids and any(r[0] % 40 and r[0] % 25 for r in got)
