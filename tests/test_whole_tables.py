@@ -88,3 +88,8 @@ def test_every_twentieth_vector_is_a_query(spark, name, cut):
     got = same(spark, name, (cut, "q.vec_id % 20 = 0"))
     ids = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r[0] for r in got} <= ids and any(r[0] % 40 and r[0] % 25 for r in got)
+
+
+def test_every_band_comes_back(spark):
+    got = same(spark, "lc_dense_roundtrip", (" order by 1 limit 3", ""))
+    assert {r[2] for r in got} == {r[0] for r in spark.read.parquet(f"{SMALL}/events.parquet").select("event_type").distinct().collect()}
