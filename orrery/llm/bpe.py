@@ -5,47 +5,57 @@ what white space parts, so a text's ids are its words' ids in order.  Words of
 ASCII letters count without case, as the tokenizer lower-cases them itself.
 
 Each distinct word of the corpus is encoded once, by the tokenizers library with
-an existing tokenizer file.  The commonest words' ids, a table of bounded size,
-are broadcast; the ids of all other words come back by a join on the word and
-take their places in the text by position.  Decoding looks ids up in the
-tokenizer's id-to-piece table, whose size is the vocabulary's.
+an existing tokenizer file, and decoded by joining its ids with the tokenizer's
+id-to-piece table.  The commonest words' rows, a table of bounded size, are
+broadcast; those of all other words come back by a join on the word and take
+their places in the text by position.
 
 Defined results: a null or empty text has no tokens and decodes to an empty
-text; null ids and repeated rows are answered each.
+text; null ids and repeated rows are answered each; a very long text is one row
+like any other, and is held whole by one task; an empty table gives an empty
+result.  Only the text and the ``keep`` columns are read, so others may have any
+names; ``keep`` may not use the names of the three added columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, staged
-from .word_table import counted, least_count
+from .common import discard, distinct_words, parts, slices, staged, sums, with_place
+from .word_table import PART, counted, least_count
 
-#: Words whose ids are broadcast, at most; the others' ids are joined.
+#: Words whose rows are broadcast, at most; the others' are joined.
 COMMON = 800_000
-#: Python's white space but not the tokenizer's.
-NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: White space to the tokenizer; to Python and Arrow also 1C to 1F.
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def split(text: str) -> list[str]:
-    """Words, those of ASCII alone in lower case (special tokens are spelled with ``<|`` and stay)."""
-    if any(c in text for c in NOT_WHITE):
-        import re
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the place of each word among them, the texts' offsets in words.
 
-        found = [w for w in re.split("[\t-\r \x85\xa0  -     　]+", text) if w]
-    elif text.isascii() and "<|" not in text:
-        return text.lower().split()
+    Words of ASCII alone are in lower case (special tokens are spelled with ``<|`` and stay).
+    """
+    odd = pc.fill_null(pc.match_substring_regex(texts, "[\\x1c-\\x1f]"), False)
+    if pc.any(odd).as_py():
+        lists = [[w for w in WHITE.split(t or "") if w] for t in texts.to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        found = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+        words, index = found.dictionary, found.indices.to_numpy()
     else:
-        found = text.split()
-    return [w.lower() if w.isascii() and "<|" not in w else w for w in found]
+        words, index, at = distinct_words(texts, unicode_space=True)
+    plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+    same = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
+    return same.dictionary, same.indices.to_numpy()[index] if len(words) else index, at
 
 
 def tokenizer(path: str):
@@ -59,23 +69,27 @@ def tokenizer(path: str):
 
 
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """word, n, ids (two or four bytes each, little-endian) of each distinct word."""
+    """word, n, ids of each distinct word."""
 
     def emit(batches):
         t = tokenizer(path)
         for b in batches:
-            ids = []
+            found = []
             for k in range(0, b.num_rows, 4096):
-                found = t.encode_batch_fast(b.column("word").slice(k, 4096).to_pylist(), add_special_tokens=False)
-                ids += [np.array(e.ids, np.uint32).tobytes() if max(e.ids, default=0) > 65535 else np.array(e.ids, np.uint16).tobytes() + b"\0" for e in found]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+                found += [e.ids for e in t.encode_batch_fast(b.column("word").slice(k, 4096).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(emit, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(emit, "word string, n long, ids array<int>")
 
 
-def unpack(ids: bytes) -> np.ndarray:
-    """Short ids carry a byte more, so that the length tells them from long ones."""
-    return np.frombuffer(ids[:-1], np.uint16) if len(ids) % 2 else np.frombuffer(ids, np.uint32)
+def decoded(table: DataFrame, path: str) -> DataFrame:
+    """word, n, size, ids and pieces (both joined by a space) from rows (word, n, ids): ids meet their pieces by a join."""
+    t = tokenizer(path)
+    pieces = [(i, t.id_to_token(i) or "") for i in range(t.get_vocab_size(with_added_tokens=True))]
+    names = F.broadcast(table.sparkSession.createDataFrame(pieces, "id int, piece string"))  # as long as the vocabulary
+    each = table.select("word", "n", F.posexplode_outer("ids").alias("at", "id")).join(names, "id", "left")
+    whole = each.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("x"))
+    return whole.select("word", "n", F.size("x").alias("size"), F.array_join(F.col("x.id").cast("array<string>"), " ").alias("ids"), F.array_join("x.piece", " ").alias("pieces"))
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -91,80 +105,72 @@ def unpack_places(packed: bytes, n: int) -> np.ndarray:
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 of each row."""
     keep = keep or {"doc_id": F.col("doc_id")}
-    spark = docs.sparkSession
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id())
-    table = staged(encoded(counted(rows, split), path), "encoded")
-    release(spark)
+    names = list(keep)
+    rows = with_place(docs, [*[c.alias(f"__k{k}") for k, c in enumerate(keep.values())], F.col(text).alias("text")])
+    own = [f"__k{k}" for k in range(len(names))]
+    bare = staged(encoded(counted(rows, split), path), "encoded")
+    table = staged(decoded(bare, path), "words")
+    discard(bare)
     least = least_count(table, COMMON)
     # Commonest first: small numbers for most words make short texts of places.
-    common = table.where(F.col("n") >= least).select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    held = spark.sparkContext.broadcast((common.column("word").to_pylist(), common.column("ids").to_pylist()))
-    t = tokenizer(path)
-    pieces = spark.sparkContext.broadcast([(t.id_to_token(i) or "") for i in range(t.get_vocab_size(with_added_tokens=True))])
-    names = list(keep)
-    places: dict = {}  # each Python worker fills its own
+    common = table.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"]).combine_chunks()
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
-    def place() -> dict:
-        if not places:
-            places.update({w: k + 1 for k, w in enumerate(held.value[0])})
-        return places
+    def placed(batches):
+        """Of each part of a batch: its first row, its last, distinct words, index, offsets and each word's place (0: not common)."""
+        known = held.value.column("word").combine_chunks()
+        for b in batches:
+            for lo, hi in parts(b.column("text"), PART):
+                words, index, at = split(b.column("text").slice(lo, hi - lo))
+                place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                yield b.slice(lo, hi - lo), words, index, at, place[index] if len(words) else np.zeros(0, np.int64)
 
     def others(batches):
-        """Row, place and word of each word that isn't common."""
-        known = place()
-        for b in batches:
-            row, slot, word = [], [], []
-            ids, texts = b.column("__row").to_numpy(), b.column("text")
-            for k in range(b.num_rows):
-                rest = [w for w in split(texts[k].as_py() or "") if w not in known]
-                row += [ids[k]] * len(rest)
-                slot += range(len(rest))
-                word += rest
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(slot, pa.int32()), pa.array(word, pa.string())], ["__row", "slot", "word"])
+        """Row, slot and word of each word that isn't common; a slot counts such words of its row."""
+        for b, words, index, at, place in placed(batches):
+            rest = np.flatnonzero(place == 0)
+            row = np.searchsorted(at, rest, "right") - 1
+            slot = np.arange(len(rest)) - np.searchsorted(rest, at)[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("__file").take(take), b.column("__pos").take(take), pa.array(slot.astype(np.int32)), words.take(pa.array(index[rest]))], ["__file", "__pos", "slot", "word"])
 
     def skeleton(batches):
         """Each row's words as places in the common table, 0 for others."""
-        known = place()
-        for b in batches:
-            n, packed = [], []
-            texts = b.column("text")
-            for k in range(b.num_rows):
-                found = np.array([known.get(w, 0) for w in split(texts[k].as_py() or "")], np.int64)
-                n.append(len(found))
-                packed.append(pack_places(found))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("__row", *names)], pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["__row", *names, "words", "packed"])
-
-    fields = [f for f in rows.schema.fields if f.name in names]
-    row = T.StructField("__row", T.LongType())
-    tail = rows.select("__row", "text").mapInArrow(others, "__row long, slot int, word string")
-    tail = tail.join(table.where(F.col("n") < least).select("word", "ids"), "word")
-    tail = tail.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("slot", "ids"))).alias("rest"))
-    texts = rows.mapInArrow(skeleton, T.StructType([row, *fields, T.StructField("words", T.LongType()), T.StructField("packed", T.BinaryType())]))
-    whole = texts.join(tail, "__row", "left").drop("__row")
-    rendered: dict = {}
+        for b, _, _, at, place in placed(batches):
+            packed = [pack_places(place[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("__file", "__pos", *own)], pa.array(np.diff(at)), pa.array(packed, pa.binary())], ["__file", "__pos", *own, "words", "packed"])
+
+    fields = [T.StructField(n, rows.schema[c].dataType) for n, c in zip(names, own, strict=True)]
+    key = [T.StructField("__file", T.LongType()), T.StructField("__pos", T.LongType())]
+    tail = rows.select("__file", "__pos", "text").mapInArrow(others, "__file long, __pos long, slot int, word string")
+    tail = tail.join(table.where(F.col("n") < least).drop("n"), "word").select("__file", "__pos", F.struct("slot", "size", "ids", "pieces").alias("x"))
+    tail = staged(tail.groupBy("__file", "__pos").agg(F.sort_array(F.collect_list("x")).alias("rest")), "rest")
+    discard(table)
+    texts = rows.mapInArrow(skeleton, T.StructType([*key, *[rows.schema[c] for c in own], T.StructField("words", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    whole = texts.join(tail, ["__file", "__pos"], "left").drop("__file", "__pos")
 
     def finish(batches):
-        names_of = pieces.value
-        if not rendered:
-            ids = [unpack(x) for x in held.value[1]]
-            rendered.update(n=np.array([0, *map(len, ids)], np.int64), ids=["", *[" ".join(map(str, x.tolist())) for x in ids]], text=["", *[" ".join([names_of[i] for i in x.tolist()]) for x in ids]])
-        n_of, ids_of, text_of = rendered["n"], rendered["ids"], rendered["text"]
+        known, blank = held.value, pa.array([""])
         for b in batches:
-            out = [[], [], []]
-            for k in range(b.num_rows):
-                at = unpack_places(b.column("packed")[k].as_py(), b.column("words")[k].as_py())
-                ids, words = [ids_of[i] for i in at.tolist()], [text_of[i] for i in at.tolist()]
-                n = int(n_of[at].sum())
-                rest = b.column("rest")[k].values
-                if rest is not None and len(rest):
-                    for slot, x in zip(np.flatnonzero(at == 0).tolist(), rest.field("ids").to_pylist(), strict=True):
-                        x = unpack(x).tolist()
-                        n += len(x)
-                        ids[slot], words[slot] = " ".join(map(str, x)), " ".join([names_of[i] for i in x])
-                out[0].append(n)
-                out[1].append(hashlib.sha256(" ".join([x for x in ids if x]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join([x for x in words if x]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            count = b.column("words").to_numpy()
+            for lo, hi in parts_of(count):
+                at = np.concatenate([[0], np.cumsum(count[lo:hi])]).astype(np.int64)
+                place = np.concatenate([np.zeros(0, np.int64), *[unpack_places(p, n) for p, n in zip(b.column("packed").slice(lo, hi - lo).to_pylist(), count[lo:hi].tolist(), strict=True)]])
+                rest = b.column("rest").slice(lo, hi - lo).flatten()  # the rest's words, row by row and by slot
+                place[place == 0] = known.num_rows + 1 + np.arange(len(rest))
+                size = np.concatenate([[0], known.column("size").to_numpy(), rest.field("size").to_numpy()]).astype(np.int64)[place]
+                bounds, some = np.concatenate([[0], np.cumsum(size > 0)])[at], pa.array(place[size > 0])
+                done = [pa.array(sums(size, at))]
+                for c in ("ids", "pieces"):
+                    each = pa.concat_arrays([blank, *known.column(c).chunks, rest.field(c)]).take(some)
+                    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), " ")
+                    done.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in lines], pa.string()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in own], *done], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     done = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return whole.mapInArrow(finish, done)
+
+
+def parts_of(count: np.ndarray, most: int = 4_000_000):
+    """(first, last) of runs of rows of about ``most`` words."""
+    yield from slices(np.concatenate([[0], np.cumsum(count)]), most)

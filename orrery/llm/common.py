@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,23 +38,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here,
-    and a lost executor costs a read instead of a recomputation."""
+    and a lost executor costs a read instead of a recomputation.
+
+    Nothing reads the write's shuffles again, so Spark deletes their files when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of results that were staged and are no longer referred to.
-
-    It does so when the driver's garbage is collected, which may be late in a job that makes little of it;
-    what holds a shuffle goes in a first round, the shuffle in a second.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_place(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """``columns`` of ``docs`` with __file and __pos, which name the row however often and however cut it is read.
+
+    A row of a file is named by the file and its place in it.  Other plans may deal their rows anew when a part is
+    computed again, so they are written first.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos")]
+    try:
+        return docs.select(*columns, *place)
+    except AnalysisException:
+        rows = docs.select(*columns)
+        return staged(rows, "rows").select(*rows.columns, *place)
 
 
 def doc_remainder(column: Column, modulus: int) -> Column:
@@ -75,6 +94,23 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct_words(texts: pa.Array, *, unicode_space: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts (null: empty), the place among them of each word, and the texts' n + 1 offsets in words.
+
+    White space is Unicode's, as Python's ``str.split`` has it, or ASCII's space and 9 to 13.
+    """
+    lists = (pc.utf8_split_whitespace if unicode_space else pc.ascii_split_whitespace)(pc.fill_null(texts.cast(pa.string()), ""))
+    found = lists.values.dictionary_encode()
+    index, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary
+    at = lists.offsets.to_numpy().astype(np.int64)
+    at, index = at - at[0], index[at[0] : at[-1]]
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:
+        real = index != empty
+        at, index = np.concatenate([[0], np.cumsum(real)])[at], index[real]
+    return words, index, at
+
+
 def slices(offsets: np.ndarray, most: int):
     """Ranges of whole documents of about ``most`` bytes each (one document may be longer)."""
     n, first = len(offsets) - 1, 0
@@ -85,6 +121,23 @@ def slices(offsets: np.ndarray, most: int):
         first = last
 
 
+def parts(texts: pa.Array, most: int):
+    """(first, last) of runs of whole texts of about ``most`` bytes (a longer text stands alone)."""
+    yield from slices(flat_utf8(texts)[1], most)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: list[str], hot: int = 1024) -> DataFrame:
+    """Inner join with a staged table of one row a key, whose column n says how many rows hold the key.
+
+    The ``hot`` commonest keys, whatever the size, are met by broadcast, so no key of the shuffled rest holds more than
+    one in ``hot`` of all rows.  The column n goes.
+    """
+    few = F.broadcast(table.orderBy(F.desc("n"), *key).limit(hot))  # a bounded number of rows
+    met = rows.join(few.drop("n"), key)
+    rest = rows.join(few.select(*key), key, "left_anti").join(table.drop("n"), key)
+    return met.unionByName(rest)
+
+
 #: ASCII letters and digits in lower case and all bytes of longer characters; 0 parts words.
 WORD_BYTE = np.zeros(256, np.uint8)
 WORD_BYTE[0x80:] = np.arange(0x80, 0x100)

@@ -26,19 +26,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
-from .word_table import counted, least_count
+from .common import distinct_words, parts, staged
+from .word_table import PART, counted, least_count
 
 RANK, PRIOR = 100.0, 2000.0
 
 
-def split(text: str) -> list[bytes]:
-    """Runs without ASCII white space, A-Z as a-z."""
-    return text.encode().lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct runs without ASCII white space, A-Z as a-z; the place of each word among them, the texts' offsets."""
+    words, index, at = distinct_words(texts, unicode_space=False)
+    same = pc.ascii_lower(words).dictionary_encode()
+    return same.dictionary, same.indices.to_numpy()[index] if len(words) else index, at
 
 
 class Lattice:
@@ -70,8 +73,8 @@ def vocabulary(model_file: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_file)
 
 
-def lattice(model_file: str, counts: dict[int, int], texts: int) -> Lattice:
-    """Weights of the vocabulary's pieces from rank and from how often the corpus used them."""
+def lattice(model_file: str, counts: dict[int, int], texts: int, prior: float = PRIOR) -> Lattice:
+    """Weights of the vocabulary's pieces from their scores, worth ``prior`` uses, and from how often the corpus used them."""
     sp = vocabulary(model_file)
     size = sp.get_piece_size()
     usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i))]
@@ -82,8 +85,8 @@ def lattice(model_file: str, counts: dict[int, int], texts: int) -> Lattice:
     for i, n in counts.items():
         if start[i]:
             seen[i] = n
-    p = (seen + PRIOR * start) / (seen.sum() + PRIOR)
-    end = (texts + 1) / (seen.sum() + texts + PRIOR)
+    p = (seen + prior * start) / (seen.sum() + prior)
+    end = (texts + 1) / (seen.sum() + texts + prior)
     logs = np.log(np.maximum(p, 1e-300)) + math.log1p(-end)
     names = {sp.id_to_piece(i): float(logs[i]) for i in usable if not sp.is_byte(i)}
     bytes_ = [0.0] * 256
@@ -110,8 +113,11 @@ def piece_counts(words: DataFrame, model_file: str) -> dict[int, int]:
     return {r["piece"]: r["n"] for r in got.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most one row a piece
 
 
-def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score (log10) of each row."""
+def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "text", keep: dict[str, Column] | None = None, prior: float = PRIOR) -> DataFrame:
+    """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score (log10) of each row.
+
+    ``prior``: how many uses of pieces the vocabulary's own scores are worth; the larger, the less the corpus moves them.
+    """
     keep = keep or {"doc_id": F.col("doc_id")}
     spark = docs.sparkSession
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text"), train.alias("__train"))
@@ -120,7 +126,7 @@ def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "te
     texts = rows.where("__train").count()
     tokens, kinds = tokens + texts, kinds + (texts > 0)
     below = tokens + 0.5 * (kinds + 1)
-    model = lattice(model_file, piece_counts(table, model_file), texts)
+    model = lattice(model_file, piece_counts(table, model_file), texts, prior)
     shared = spark.sparkContext.broadcast(model)
 
     def probabilities(batches):
@@ -133,47 +139,38 @@ def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "te
     scored = staged(table.mapInArrow(probabilities, "word string, n long, known long, base double, lm double"), "scored")
     least = least_count(scored)
     common = scored.where(F.col("n") >= least).select("word", "known", "base", "lm").toArrow()
-    place = {w.encode(): k for k, w in enumerate(common.column("word").to_pylist())}
-    held = spark.sparkContext.broadcast((place, np.stack([common.column(c).to_numpy().astype(float) for c in ("known", "base", "lm")] or [np.zeros(0)] * 3)))
+    values = np.zeros((3, common.num_rows + 1))  # the last for words that aren't common
+    values[:, :-1] = [common.column(c).to_numpy().astype(float) for c in ("known", "base", "lm")]
+    held = spark.sparkContext.broadcast((common.column("word").combine_chunks(), values))
     end = (1.0 if texts else 0.0, math.log10((texts + 0.5) / below), model.end / math.log(10))
     names = list(keep)
     schema = T.StructType([T.StructField("__row", T.LongType()), *rows.drop("text", "__train").schema.fields, *[T.StructField(n, t) for n, t in (("tokens", T.LongType()), ("word", T.StringType()), ("times", T.LongType()), ("known", T.DoubleType()), ("base", T.DoubleType()), ("lm", T.DoubleType()))]])
     added = [f.name for f in schema.fields[1 + len(names) :]]
 
     def emit(batches):
-        place, values = held.value
+        """A row for each text, with the sums over its common words, and one for each other word of it."""
+        known, values = held.value
         for b in batches:
-            texts_ = b.column("text")
-            which, tokens_, word, times, known, base, lm = [], [], [], [], [], [], []
-            for k in range(b.num_rows):
-                found = split(texts_[k].as_py() or "")
-                at = [place.get(w, -1) for w in found]
-                index = np.array(at, np.int64)
-                total = values[:, index[index >= 0]].sum(1) + end
-                which.append(k)
-                tokens_.append(len(found) + 1)
-                word.append(None)
-                times.append(1)
-                known.append(total[0])
-                base.append(total[1])
-                lm.append(total[2])
-                rest: dict[bytes, int] = {}
-                for w, i in zip(found, at, strict=True):
-                    if i < 0:
-                        rest[w] = rest.get(w, 0) + 1
-                which += [k] * len(rest)
-                tokens_ += [0] * len(rest)
-                word += rest
-                times += rest.values()
-                for x in (known, base, lm):
-                    x += [0.0] * len(rest)
-            take = pa.array(which, pa.int64())
-            columns = [b.column(n).take(take) for n in ("__row", *names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens_, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(known), pa.array(base), pa.array(lm)], ["__row", *names, *added])
-
-    parts = staged(rows.drop("__train").withColumn("__row", F.monotonically_increasing_id()).mapInArrow(emit, schema), "parts")
-    one = parts.where("word is null").select("__row", *names, "tokens", "known", "base", "lm")
-    rest = parts.where("word is not null").select("__row", "word", "times").join(scored.where(F.col("n") < least), "word")
+            for lo, hi in parts(b.column("text"), PART):
+                words, index, at = split(b.column("text").slice(lo, hi - lo))
+                n, place = hi - lo, pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False)[index] if len(words) else index
+                total = np.zeros((3, n)) + np.array(end)[:, None]
+                some = np.flatnonzero(np.diff(at))
+                if len(some):
+                    total[:, some] += np.add.reduceat(values[:, place], at[some], axis=1)
+                rest = np.flatnonzero(place == len(known))
+                cell, times = np.unique((np.searchsorted(at, rest, "right") - 1) * max(len(words), 1) + index[rest], return_counts=True)
+                which, word = cell // max(len(words), 1), cell % max(len(words), 1)
+                m, none = len(cell), np.zeros(len(cell))
+                row = b.column("__row").slice(lo, n)
+                take = pa.array([*range(n), *[None] * m], pa.int64())
+                columns = [pa.concat_arrays([row, row.take(pa.array(which))]), *[b.column(c).slice(lo, n).take(take) for c in names]]
+                new = [np.concatenate([np.diff(at) + 1, none.astype(np.int64)]), pa.concat_arrays([pa.nulls(n, pa.string()), words.take(pa.array(word))]), np.concatenate([np.ones(n, np.int64), times.astype(np.int64)]), *[np.concatenate([x, none]) for x in total]]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in new]], ["__row", *names, *added])
+
+    pieces = staged(rows.drop("__train").withColumn("__row", F.monotonically_increasing_id()).mapInArrow(emit, schema), "parts")
+    one = pieces.where("word is null").select("__row", *names, "tokens", "known", "base", "lm")
+    rest = pieces.where("word is not null").select("__row", "word", "times").join(scored.where(F.col("n") < least), "word")
     rest = rest.groupBy("__row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "lm")])
     whole = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0.0))
     return one.join(rest, "__row", "left").select(*names, F.col("tokens").alias("n_tokens"), whole("known").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), whole("base").alias("base_score"), whole("lm").alias("score"))

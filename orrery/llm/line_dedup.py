@@ -1,24 +1,33 @@
 """Line dedup: repeated runs of lines found by winnowing, extended, later ones deleted.
 
-Lines without a word are passed over; the others are compared by the hash of
-their text (white space at the ends aside).  A run is consecutive lines of at
+Lines without a word are passed over; the others are compared by a 128-bit hash
+of their text (white space at the ends aside).  A run is consecutive lines of at
 least ``min_words`` words together.  A line goes if it stands in a run that is
 equal, line by line, to a run that came earlier: in a document of smaller id,
 or higher up in the same one.
 
-Winnowing: from each line the shortest span of ``min_words`` words onward is a
-window, and its smallest line hash is a fingerprint.  Equal runs have equal
-windows, so they are guaranteed to share a fingerprint; positions are joined on
-it.  A match is extended both ways, span by span: each line also ends a
-shortest span backwards, and forward and backward spans together cover a run
-exactly.  Spans that hold a shared fingerprint are looked up against the first
-span of equal hash; one that is not the first is deleted.  No pairs are formed,
-so a passage in a third of all documents costs a row for each place.
+Winnowing: the shortest run of ``min_words`` words that begins at a line, and
+the shortest that ends there, are windows; the line of smallest hash in a window
+is its minimum, and only the minima of a document are its fingerprints.  Equal
+runs have equal windows, so they are guaranteed to share a fingerprint.
+Positions are joined on fingerprints; what stands in one place only goes no
+further.  From each shared position the match is extended both ways, over the
+lines before and after it that its windows hold, and compared with the first
+place of the same extended lines; windows that aren't the first are deleted, and
+overlapping ones delete a run to its full length.  No pairs are formed, so a
+passage in a third of all documents costs a row for each place, and fingerprints
+and windows in very many places are joined by broadcast instead of a shuffle.
+
+Whole lines are the unit: the part of a passage that begins or ends inside a
+line stays.
 
 Defined results: a null text stays null; an empty one stays; a document of
 which nothing is left becomes an empty text; rows of null id are never changed
-and never count as earlier; rows of one id count as one document, and equal
-places in them don't delete each other.
+and never count as earlier; rows of one id and one text share their places, so
+they don't delete each other, and of rows of one id with different texts each
+is cut for itself; a very long text is held whole by one task; an empty table
+gives an empty result.  Other columns may have any names but those of the three
+added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,26 +38,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged
+from .common import discard, join_hot, mix, parts, staged
 
 _U = np.uint64
-SPANS = "doc long, first int, last int, mark long, span long, at int"
 
 
 def split(text: str) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
-    """The lines of a text; the numbers, hashes and word counts of those with a word (ASCII white space parts words)."""
+    """The lines of a text; the numbers, hashes (two columns) and word counts of those with a word (ASCII white space parts words)."""
     lines = text.encode().split(b"\n")
     kept, hashes, counts = [], [], []
     for k, line in enumerate(lines):
         n = len(line.split())
         if n:
             kept.append(k)
-            hashes.append(xxhash.xxh3_64_intdigest(line.strip()))
+            hashes.append(xxhash.xxh3_128_digest(line.strip()))
             counts.append(n)
-    return lines, kept, np.array(hashes, np.uint64), np.array(counts, np.int64)
+    return lines, kept, np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2), np.array(counts, np.int64)
 
 
-def spans(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last line of the shortest spans of ``min_words`` words, forward from each line and backward."""
     n, total = len(counts), np.concatenate([[0], np.cumsum(counts)])
     first = np.arange(n)
@@ -60,78 +68,103 @@ def spans(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.nd
     return both[:, 0], both[:, 1]
 
 
-def span_rows(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """first, last, fingerprint, hash and the fingerprint's line of each span."""
-    first, last = spans(hashes, counts, min_words)
-    if not len(first):
-        return first, last, hashes[:0], hashes[:0], first
-    order = np.argsort(last - first, kind="stable")
-    first, last = first[order], last[order]
-    mark, span, place = hashes[first].copy(), mix(hashes[first]), first.copy()
-    length = last - first
-    for k in range(1, int(length.max()) + 1):
-        at = slice(int(np.searchsorted(length, k, "left")), None)
-        place[at] = np.where(hashes[first[at] + k] < mark[at], first[at] + k, place[at])
-        mark[at] = np.minimum(mark[at], hashes[first[at] + k])
-        span[at] = mix(span[at] * _U(0x9E3779B97F4A7C15) + hashes[first[at] + k])
-    return first, last, mark, span, place
+def minima(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The line of smallest hash in each window, the first of equal ones."""
+    place = first.copy()
+    for k in range(1, int((last - first).max(initial=0)) + 1):
+        at = np.flatnonzero(last - first >= k)
+        place[at] = np.where(hashes[first[at] + k] < hashes[place[at]], first[at] + k, place[at])
+    return place
+
+
+def extended(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 128-bit hash (two columns) of all lines of each window."""
+    out = mix(hashes[first])
+    for k in range(1, int((last - first).max(initial=0)) + 1):
+        at = np.flatnonzero(last - first >= k)
+        out[at] = mix(out[at] * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + hashes[first[at] + k])
+    return out
 
 
 def repeated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = 50) -> DataFrame:
-    """doc, cuts: for each document that loses lines, the spans (first, last; of lines with a word) to delete."""
+    """doc, digest (of the text), cuts: for each document that loses lines, the spans (first, last; of lines with a word) to delete."""
 
-    def emit(batches):
+    def fingerprints(batches):
+        """Each document's lines as arrays, with its fingerprints: distinct window minima."""
+        for b in batches:
+            for lo, hi in parts(b.column("text"), 4_000_000):
+                which, one, two, words, marks = [], [], [], [], []
+                for k, t in enumerate(b.column("text").slice(lo, hi - lo).to_pylist()):
+                    _, _, hashes, counts = split(t)
+                    if counts.sum() >= min_words:
+                        which.append(lo + k)
+                        one.append(hashes[:, 0].view(np.int64))
+                        two.append(hashes[:, 1].view(np.int64))
+                        words.append(counts)
+                        marks.append(np.unique(minima(hashes[:, 0], *windows(counts, min_words))))
+                take = pa.array(which, pa.int64())
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (one, two, words)]
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(take), b.column("digest").take(take), *lists, pa.array(marks, pa.list_(pa.int32()))], ["doc", "digest", "one", "two", "words", "marks"])
+
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    lines = staged(rows.mapInArrow(fingerprints, "doc long, digest long, one array<long>, two array<long>, words array<long>, marks array<int>"), "lines")
+
+    # Positions, joined on their fingerprints: those that have an equal elsewhere.
+    positions = lines.select("doc", "digest", F.explode("marks").alias("at"), F.element_at("one", F.col("at") + 1).alias("mark"))
+    place = F.struct("doc", "at")
+    marks = positions.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
+    shared = staged(marks, "marks")
+    found = join_hot(positions, shared, ["mark"]).select("doc", "digest", "at")
+    found = found.groupBy("doc", "digest").agg(F.sort_array(F.collect_set("at")).alias("shared"))
+    candidates = lines.drop("marks").join(found, ["doc", "digest"])
+
+    def matches(batches):
+        """The windows that hold a shared position as their minimum, by the hash of all their lines."""
         for b in batches:
-            out = [[], [], [], [], [], []]
-            for doc, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-                _, _, hashes, counts = split(t)
-                if counts.sum() >= min_words:
-                    rows = span_rows(hashes, counts, min_words)
-                    out[0].append(np.full(len(rows[0]), doc))
-                    for o, r in zip(out[1:], rows, strict=True):
-                        o.append(r)
-            if out[0]:
-                doc, first, last, mark, span, at = (np.concatenate(o) for o in out)
-                small = [pa.array(x.astype(np.int32)) for x in (first, last, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), *small[:2], pa.array(mark.view(np.int64)), pa.array(span.view(np.int64)), small[2]], ["doc", "first", "last", "mark", "span", "at"])
-
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    found = staged(rows.mapInArrow(emit, SPANS), "spans")
+            one, two, words, shared = (b.column(c) for c in ("one", "two", "words", "shared"))
+            for k in range(b.num_rows):
+                hashes = np.stack([x[k].values.to_numpy().view(np.uint64) for x in (one, two)], 1)
+                first, last = windows(words[k].values.to_numpy(), min_words)
+                held = np.isin(minima(hashes[:, 0], first, last), shared[k].values.to_numpy())
+                first, last = first[held], last[held]
+                whole = extended(hashes, first, last).view(np.int64)
+                same = pa.array(np.full(len(first), k))
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(same), b.column("digest").take(same), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(whole[:, 0]), pa.array(whole[:, 1])], ["doc", "digest", "first", "last", "x", "y"])
+
+    spans = staged(candidates.mapInArrow(matches, "doc long, digest long, first int, last int, x long, y long"), "windows")
+    discard(lines, shared)
     place = F.struct("doc", "first")
-    # Fingerprints that stand in more than one place.
-    marks = found.groupBy("mark").agg(F.min(F.struct("doc", "at")).alias("a"), F.max(F.struct("doc", "at")).alias("b"))
-    shared = marks.where("a < b").select("mark")
-    candidates = found.join(shared, "mark", "left_semi")
-    origin = candidates.groupBy("span").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin < latest").select("span", "origin")
-    later = candidates.join(origin, "span").where(place > F.col("origin"))
-    return later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts"))
+    origin = spans.groupBy("x", "y").agg(F.min(place).alias("origin"), F.max(place).alias("latest"), F.count("*").alias("n")).where("origin < latest").select("x", "y", "n", "origin")
+    later = join_hot(spans, staged(origin, "origins"), ["x", "y"]).where(place > F.col("origin"))
+    return later.groupBy("doc", "digest").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts"))
 
 
 def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = 50) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``; adds __lines (with a word), __removed and __removed_words."""
-    cuts = repeated(docs, text=text, key=key, min_words=min_words)
+    cuts = repeated(docs, text=text, key=key, min_words=min_words).select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.col("cuts").alias("__cuts"))
     names = [c for c in docs.columns if c not in ("__lines", "__removed", "__removed_words")]
-    joined = docs.select(*names).join(cuts.withColumnRenamed("doc", "__doc").withColumnRenamed("cuts", "__cuts"), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    some, none = docs.select(*names).where(F.col(key).isNotNull()), docs.select(*names).where(F.col(key).isNull())
+    joined = some.join(cuts, (F.col(key).cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__digest")), "left").select(*names, "__cuts")
+    joined = joined.unionByName(none.withColumn("__cuts", F.lit(None).cast(joined.schema["__cuts"].dataType)))
     schema = docs.select(*names).schema.add("__lines", "long").add("__removed", "long").add("__removed_words", "long")
 
     def emit(batches):
         for b in batches:
-            texts, cut = b.column(text).to_pylist(), b.column("__cuts").to_pylist()
-            n, gone, lost = [], [], []
-            for k, (t, spans_) in enumerate(zip(texts, cut, strict=True)):
-                lines, kept, _, counts = split(t or "")
-                out = np.zeros(len(kept), bool)
-                for s in spans_ or ():
-                    out[s["first"] : s["last"] + 1] = True
-                n.append(len(kept))
-                gone.append(int(out.sum()))
-                lost.append(int(counts[out].sum()) if len(kept) else 0)
-                if gone[-1]:
-                    drop = {kept[i] for i in np.flatnonzero(out)}
-                    left = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
-                    texts[k] = left.decode() if left.strip() else ""
-            arrays = [pa.array(texts, b.schema.field(text).type) if c == text else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__removed", "__removed_words"])
+            for lo, hi in parts(b.column(text), 4_000_000):
+                texts, cut = b.column(text).slice(lo, hi - lo).to_pylist(), b.column("__cuts").slice(lo, hi - lo).to_pylist()
+                n, gone, lost = [], [], []
+                for k, (t, spans) in enumerate(zip(texts, cut, strict=True)):
+                    lines = (t or "").encode().split(b"\n")
+                    kept = [i for i, line in enumerate(lines) if line.strip()]
+                    drop = {kept[i] for s in spans or () for i in range(s["first"], s["last"] + 1)}
+                    n.append(len(kept))
+                    gone.append(len(drop))
+                    lost.append(sum(len(lines[i].split()) for i in drop))
+                    if drop:
+                        left = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
+                        texts[k] = left.decode() if left.strip() else ""
+                arrays = [pa.array(texts, b.schema.field(text).type) if c == text else b.column(c).slice(lo, hi - lo) for c in names]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__removed", "__removed_words"])
 
     return joined.mapInArrow(emit, schema)
 

@@ -1,60 +1,58 @@
 """The distinct-word table: how often each word stands in a corpus, and its common part.
 
-Counting keeps a dictionary in each task, emptied whenever it holds ``HELD``
-words, so memory doesn't grow with the corpus.  The commonest ``COMMON`` words at
+Counting turns texts into distinct words and counts a few megabytes at a time,
+so memory doesn't grow with the corpus.  The commonest ``COMMON`` words at
 most, which make up most of any text, are a table of proven size: it is
 broadcast.  All other words are met by a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COMMON, HELD = 200_000, 400_000
+from .common import parts
 
+COMMON = 200_000
+#: Bytes of text that are counted at a time.
+PART = 16_000_000
 
-def counted(docs: DataFrame, split: Callable[[str], list], *, also: str | None = None) -> DataFrame:
-    """word, n, and n_own (how often in rows where the boolean column ``also`` holds), from rows with ``text``."""
 
-    def emit(batches):
-        every, own = Counter(), Counter()
+def counted(docs: DataFrame, split: Callable[[pa.Array], tuple], *, also: str | None = None) -> DataFrame:
+    """word, n, n_own (how often in rows where the boolean column ``also`` holds), from rows with ``text``.
 
-        def rows():
-            words = list(every)
-            columns = [pa.array(words, pa.string()) if not words or isinstance(words[0], str) else pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([own[w] for w in words], pa.int64())]
-            every.clear()
-            own.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n", "n_own"])
+    ``split`` gives the distinct words of texts, the place of each word among them, and the texts' offsets in words.
+    """
 
+    def emit(batches):
         for b in batches:
-            flags = b.column(also).to_pylist() if also else [False] * b.num_rows
             texts = b.column("text")
-            for k, flag in enumerate(flags):
-                words = split(texts[k].as_py() or "")
-                every.update(words)
-                if flag:
-                    own.update(words)
-                if len(every) > HELD:
-                    yield rows()
-        yield rows()
-
-    columns = ["text", also] if also else ["text"]
-    partial = docs.select(*columns).mapInArrow(emit, "word string, n long, n_own long")
+            for lo, hi in parts(texts, PART):
+                words, index, at = split(texts.slice(lo, hi - lo))
+                n = np.bincount(index, minlength=len(words))
+                own = np.zeros_like(n)
+                if also:
+                    flag = np.asarray(b.column(also).slice(lo, hi - lo).to_pylist(), bool)
+                    own = np.bincount(index[np.repeat(flag, np.diff(at))], minlength=len(words))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(n[some]), pa.array(own[some])], ["word", "n", "n_own"])
+
+    partial = docs.select(*["text", also] if also else ["text"]).mapInArrow(emit, "word string, n long, n_own long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_own").alias("n_own"))
 
 
 def least_count(table: DataFrame, most: int = COMMON) -> int:
-    """The least count such that at most ``most`` words of ``table`` have it or a higher one."""
-    sizes = table.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).collect()
+    """A count that at most ``most`` words of ``table`` reach, and nearly as many; counts go in sixteenths of a power of two."""
+    step = F.floor(F.log2("n") * 16)
+    sizes = table.where("n > 1").groupBy(step.alias("step")).agg(F.min("n").alias("n"), F.count("*").alias("words")).collect()  # 1,008 rows at most
     total, least = 0, 1 << 62
-    for n, words in sorted(map(tuple, sizes), reverse=True):
-        total += words
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        total += r["words"]
         if total > most:
             break
-        least = n
+        least = r["n"]
     return least
