@@ -18,25 +18,32 @@ each pair of blocks.  Pairs
 stay inside the task; it returns a count of links for each text and ties that
 span its linked groups, whose components are the final classes.
 
+Buckets, stars of the components' rounds, components and groups of copies of any
+size are joined without a hot task: the commonest keys are met by broadcast.
+
 Defined results: a null text or one without words is linked to nothing; equal
 word sequences are linked; rows of null id are left out; rows of one id count
-as one document (with several texts: the least of them).
+as one document (with several texts: one of them, chosen by its hash, stands for
+the id throughout); a very long text is held whole by a task, and by those that
+verify its component; an empty table gives an empty result.  Only the two named
+columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_utf8, mix, slices, staged, word_hashes
+from .common import discard, flat_utf8, join_hot, mix, slices, staged, word_hashes
 
 N, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
 #: A block has about so many texts at most, and so many n-grams in all.
-BLOCK, BLOCK_GRAMS = 512, 1_500_000
+BLOCK, BLOCK_GRAMS = 512, 600_000
 _U = np.uint64
 _ODD = np.random.default_rng(20260202).integers(1, 2**63, 16 * N, dtype=np.uint64) | _U(1)
 _SCALE = np.random.default_rng(20260203).integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -81,11 +88,11 @@ def signatures(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc, same (hash of the word sequence), bands, grams (number), from rows (doc, text)."""
+    """doc, digest, same (hash of the word sequence), bands, grams (number), from rows (doc, digest, text)."""
 
     def emit(batches):
         for b in batches:
-            ids, (data, at) = b.column("doc").to_numpy(), flat_utf8(b.column("text"))
+            ids, digest, (data, at) = b.column("doc").to_numpy(), b.column("digest").to_numpy(), flat_utf8(b.column("text"))
             for lo, hi in slices(at, 2_000_000):
                 grams, ends, words, cuts = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 some = np.flatnonzero(np.diff(ends))
@@ -95,9 +102,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 same = [xxhash.xxh3_128_digest(raw[8 * cuts[d] : 8 * cuts[d + 1]]) for d in some]
                 bands = signatures(grams, np.append(ends[some], ends[-1]))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][some]), pa.array(same, pa.binary()), bands, pa.array(np.diff(ends)[some])], ["doc", "same", "bands", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][some]), pa.array(digest[lo:hi][some]), pa.array(same, pa.binary()), bands, pa.array(np.diff(ends)[some])], ["doc", "digest", "same", "bands", "grams"])
 
-    return docs.mapInArrow(emit, "doc long, same binary, bands array<long>, grams long")
+    return docs.mapInArrow(emit, "doc long, digest long, same binary, bands array<long>, grams long")
 
 
 def components(ties: DataFrame, name: str) -> DataFrame:
@@ -106,19 +113,20 @@ def components(ties: DataFrame, name: str) -> DataFrame:
     Large-star and small-star rounds until the ties stay as they are.
     """
     edges, before = staged(ties.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name), None
-    for _ in range(40):
+    for _ in itertools.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, name)
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m")), name)
+        large = staged(join_hot(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        discard(edges, least)
+        # A node's smaller neighbours are few here: it is never the centre of its star.
         small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         edges = large.join(small, large["a"] == small["u"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = staged(edges.where("a <> b").distinct(), name)
+        discard(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def linked(sets: list[np.ndarray], threshold: float, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,53 +176,56 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 def verify(members: DataFrame, threshold: float) -> DataFrame:
     """doc, weight of its links, tie: from rows (doc, copies, text, cell, side) that meet by cell (a, b: blocks)."""
 
-    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "doc"], kind="stable")
-        sets = []
-        for t in pdf.text:
-            grams, *_ = shingles(*flat_utf8(pa.array([t], pa.string())))
-            sets.append(np.unique(grams))
-        docs, copies, side = pdf.doc.to_numpy(), pdf.copies.to_numpy(), pdf.side.to_numpy()
-        left = int((side == 0).sum())
-        i, j = linked(sets, threshold, None if key[0] == key[1] else left)
+    def cell(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("side", "ascending"), ("doc", "ascending")])
+        sets, (data, at) = [], flat_utf8(t.column("text"))
+        for lo, hi in slices(at, 1_000_000):
+            grams, ends, *_ = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            sets += [np.unique(grams[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        docs, copies, side = (t.column(c).to_numpy() for c in ("doc", "copies", "side"))
+        a, b = (x.as_py() for x in key[:2])
+        i, j = linked(sets, threshold, None if a == b else int((side == 0).sum()))
         links = np.bincount(i, copies[j], len(docs)) + np.bincount(j, copies[i], len(docs))
         tie = docs.copy()
         for k, root in spanning(i, j, len(docs)):
             tie[k] = docs[root]
         some = links > 0
-        return pd.DataFrame({"doc": docs[some], "links": links[some].astype(np.int64), "tie": tie[some]})
+        return pa.table({"doc": docs[some], "links": links[some].astype(np.int64), "tie": tie[some]})
 
-    return members.groupBy("cell.a", "cell.b", "cell.root").applyInPandas(cell, "doc long, links long, tie long")
+    return members.groupBy("cell.a", "cell.b", "cell.root").applyInArrow(cell, "doc long, links long, tie long")
 
 
 def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least id of the linked group), copy_of (least id of equal word sequence), n_links of each id."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    sketches = staged(sketch(rows.where("text is not null")), "sketch")
-    one = sketches.groupBy("doc").agg(F.min(F.struct("same", "bands", "grams")).alias("s")).select("doc", "s.same", "s.bands", "s.grams")
-    classes = staged(one.groupBy("same").agg(F.min(F.struct("doc", "bands", "grams")).alias("r"), F.count("*").alias("copies")).select("same", F.col("r.doc").alias("rep"), "r.bands", "r.grams", "copies"), "classes")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    sketches = sketch(rows.where("text is not null"))
+    one = staged(sketches.groupBy("doc").agg(F.min(F.struct("same", "digest", "bands", "grams")).alias("s")).select("doc", "s.same", "s.digest", "s.bands", "s.grams"), "sketch")
+    classes = staged(one.groupBy("same").agg(F.min(F.struct("doc", "digest", "bands", "grams")).alias("r"), F.count("*").alias("copies")).select("same", F.col("r.doc").alias("rep"), "r.digest", "r.bands", "r.grams", "copies"), "classes")
 
     hashed = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    least = hashed.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = hashed.join(least, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    least = staged(hashed.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    ties = join_hot(hashed, least, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     found = components(ties, "ties")
     found = staged(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "components")
+    discard(least)
 
     # A component of at most BLOCK texts is one cell, several small ones share none; larger ones are cut into blocks.
-    placed = found.join(classes.select(F.col("rep").alias("node"), "copies", "grams"), "node")
-    sizes = placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "root")
+    placed = found.join(classes.select(F.col("rep").alias("node"), "digest", "copies", "grams"), "node")
+    sizes = placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = join_hot(placed, staged(sizes, "sizes"), ["root"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = rows.where("text is not null").join(placed.select(F.col("node").alias("doc"), "digest", "copies", "root", "block", "blocks"), ["doc", "digest"])
+    texts = staged(texts.groupBy("doc", "digest", "copies", "root", "block", "blocks").agg(F.min("text").alias("text")), "members")  # a row a document, though its row may be repeated
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.struct("root", F.least("block", other).alias("a"), F.greatest("block", other).alias("b")).alias("cell"), F.when(F.col("block") <= other, 0).otherwise(1).alias("side")))
-    placed = placed.select(F.col("node").alias("doc"), "copies", F.explode(cells).alias("c")).select("doc", "copies", "c.cell", "c.side")
-    texts = rows.where("text is not null").join(found.select(F.col("node").alias("doc")), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    links = staged(verify(placed.join(texts, "doc"), threshold), "links")
+    members = texts.select("doc", "copies", "text", F.explode(cells).alias("c")).select("doc", "copies", "text", "c.cell", "c.side")
+    links = staged(verify(members, threshold), "links")
+    discard(texts)
 
     final = components(links.select(F.col("doc").alias("a"), F.col("tie").alias("b")), "final")
     count = links.groupBy("doc").agg(F.sum("links").alias("links"))
     reps = classes.select("same", "rep", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(count.withColumnRenamed("doc", "rep"), "rep", "left")
-    reps = reps.select("same", "rep", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = one.select("doc", "same").join(reps, "same").select("doc", "rep", "class", "n_links")
+    reps = reps.select("same", "rep", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
+    out = join_hot(one.select("doc", "same"), staged(reps, "groups"), ["same"]).select("doc", "rep", "class", "n_links")
     alone = F.col("doc_id")
     ids = rows.select(F.col("doc").alias("doc_id")).distinct().join(out, F.col("doc_id") == F.col("doc"), "left")
     return ids.select("doc_id", F.coalesce("class", alone).alias("class_id"), F.coalesce("rep", alone).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
