@@ -82,7 +82,7 @@ def test_lm_base_score_and_edges(spark, monkeypatch):
 
 def plain_ppm(counts, ctx, sym):
     """Code length by the definition: escape from order 3 down to a uniform code."""
-    p = 1 / language_id.A
+    p = 1 / 256
     for k in (0, 1, 2, 3):
         c = counts[k].get(ctx[3 - k :], {})
         if c:
@@ -91,28 +91,63 @@ def plain_ppm(counts, ctx, sym):
     return -math.log2(p)
 
 
-def test_ppm_code_lengths(spark):
-    train = [(1, "the cat sat on the mat", "en"), (2, "le chat été là", "fr"), (3, "the dog", "en")]
+@pytest.mark.parametrize("dense", [language_id.DENSE, 20_000, 0])
+def test_ppm_code_lengths(spark, monkeypatch, dense):
+    """Every context counts, whether it has a row of the table or not."""
+    monkeypatch.setattr(language_id.Trees.__init__, "__defaults__", (dense,))
+    train = [(1, "The cat sat on the mat 12", "en"), (2, "le chat été là; le chat", "fr"), (3, "the dog & the cat\n", "en")]
     lab = spark.createDataFrame(train, "doc_id long, text string, lang string")
-    langs, place, cost = language_id.train(lab, text="text", lang="lang", key="doc_id", max_train_docs=10, max_contexts=10_000)
-    assert langs == ["en", "fr"]
-    counts = {lang: [{} for _ in range(4)] for lang in langs}
+    trees = language_id.train(lab, text="text", lang="lang", key="doc_id", max_train_docs=10, max_train_bytes=10_000)
+    assert trees.langs == ["en", "fr"]
+    counts = {lang: [{} for _ in range(4)] for lang in trees.langs}
     for _, text, lang in train:
-        s = [language_id.SPACE] * 3 + [int(x) for x in language_id.SYMBOL[list(text.encode())]]
+        s = list(b"   " + text.encode())
         for i in range(3, len(s)):
             for k in range(4):
                 c = counts[lang][k].setdefault(tuple(s[i - k : i]), {})
                 c[s[i]] = c.get(s[i], 0) + 1
-    texts = ["the chat zz", "", "été 12!", "x" * 50]
+    texts = ["The chat zz", "", "été 12!?", "x" * 50, "日本 the cat sat\x00\x01", "le dog & été"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
-    got = language_id.lengths(data, offsets, place, cost)
+    got = language_id.lengths(data, offsets, trees)
     for t, row in zip(texts, got, strict=True):
-        s = [language_id.SPACE] * 3 + [int(x) for x in language_id.SYMBOL[list(t.encode())]]
-        for lang, bits in zip(langs, row, strict=True):
+        s = list(b"   " + t.encode())
+        for lang, bits in zip(trees.langs, row, strict=True):
             assert bits == pytest.approx(sum(plain_ppm(counts[lang], tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))), rel=1e-5)
 
 
+def test_predictions_are_the_shortest_codes(spark):
+    r = random.Random(6)
+    kinds = {"x": "abcde ", "y": "abfgh ", "z": "cdefgé "}
+    rows = [(k, "".join(r.choices(kinds[g], k=r.randint(1, 90))), g) for k in range(240) for g in [r.choice("xyz")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = df.where("doc_id % 3 > 0")
+    got = {x.doc_id: x for x in language_id.language_id(df, lab).collect()}
+    counts = {g: [{} for _ in range(4)] for g in "xyz"}
+    for d, t, g in rows:
+        s = list(b"   " + t.encode())
+        for i in range(3, len(s)) if d % 3 else ():
+            for k in range(4):
+                c = counts[g][k].setdefault(tuple(s[i - k : i]), {})
+                c[s[i]] = c.get(s[i], 0) + 1
+    for d, t, _ in rows:
+        s = list(b"   " + t.encode())
+        bits = {g: sum(plain_ppm(counts[g], tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))) for g in "xyz"}
+        best = min("xyz", key=bits.get)
+        if not t.strip():
+            assert got[d].lang_pred == "und" and got[d].score == 0
+        elif sorted(bits.values())[1] - bits[best] > 0.01:
+            assert got[d].lang_pred == best
+            over = [(b - bits[best]) * min(1, language_id.EVIDENCE / len(t.encode())) for b in bits.values()]
+            assert got[d].score == pytest.approx(1 / sum(2.0 ** -min(x, 200) for x in over), rel=1e-3)
+
+
+def test_too_many_labels(spark):
+    lab = spark.range(600).selectExpr("id as doc_id", "'a b' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="distinct labels"):
+        language_id.language_id(lab, lab)
+
+
 def test_language_edges(spark):
     lab = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
     df = spark.createDataFrame([(1, "the cat", 1), (2, "la table", 1), (3, None, 1), (4, "", 1), (5, "123 !?", 1), (None, "the", 1), (6, "é", 1)], "doc_id long, text string, lang_pred int")
