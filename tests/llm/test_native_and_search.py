@@ -49,7 +49,10 @@ def test_estimation_finds_the_accuracies():
 
 def test_license_edges(spark):
     fill = " ".join(f"w{i}" for i in range(50))
-    texts = [None, "", "...", "MIT License", f"{fill} Released under the MIT License. {fill}", "gnu general public. LICENSE! cc by cc-by", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation FILES", f"all rights {fill} reserved", "apache apache license", "permission granted free"]
+    long = {label: t for t, label in license_scan.TEMPLATES}
+    cut = long["mit-text"].split()
+    texts = [None, "", "...", "MIT License", f"{fill} Released under the MIT License. {fill}", "gnu general public. LICENSE! cc by cc-by", f"{fill} {long['mit-text'].lower()} {fill}", f"all rights {fill} reserved", "apache apache license", "permission granted free"]
+    texts += [" ".join(cut[:150]), " ".join(cut[:90]), f"{long['bsd-2-clause']} {fill} {long['gpl-notice']}", "released under license, the MIT one", f"{fill} " * 400 + long["apache-2.0-notice"], "gnu gnu general public license apache license"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "cc by"), (3, texts[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"labels": F.lit(1), "word": F.lit(2)})
     got = sorted((tuple(r) for r in license_scan.summary(*license_scan.license_scan(df)).collect()), key=str)
@@ -60,6 +63,8 @@ def test_license_edges(spark):
     assert by[5][2:6] == (3, 0, 6, "cc-by,gpl")
     assert by[6][5:7] == ("", "mit-text") and by[6][7] == 1.0
     assert by[7][6] == "" and by[8][2:4] == (1, 1) and by[9][6] == ""
+    assert by[10][6] == "mit-text" and 0.8 <= by[10][7] < 1 and by[11][6] == "" and by[12][6] == "bsd-2-clause,gpl,gpl-notice" and by[13][6] == ""
+    assert by[14][6] == "apache,apache-2.0,apache-2.0-notice" and by[14][3] == 400 * 50 + 3 and by[15][2:5] == (2, 1, 5)
     connection = duckdb.connect()
     documents = df.select("doc_id", "text").where("doc_id <> 3").toPandas()  # noqa: F841
     want = connection.sql(license_scan.oracle()).fetchall()
