@@ -13,10 +13,15 @@ Words are runs without ASCII white space.  Words in windows: each window of
 eight words is hashed; hashes are sorted inside the row, equal neighbours mark
 repeated windows, and the union of their spans is measured.
 
+Votes are cast once and written with the ``keep`` columns alone, so a text is
+written only if it is asked for.
+
 Defined results: a null text has no words (all counts 0, failed); a text that
 fails the base rules is never kept; an empty table gives an empty result; rows
-repeated are judged each.  Input columns may have any names: only the given
-text column is read, and columns that clash with the added ones are replaced.
+repeated and rows of null id are judged each; a very long text is judged as a
+whole, in one row.  Input columns may have any names: only the given text column
+and those of ``keep`` are read, under names of the operator's own; ``keep`` may
+not use the names of the added columns.
 """
 
 from __future__ import annotations
@@ -37,23 +42,23 @@ SHARE, LEAST_SHARE, MOST_SHARE, PRIOR, ROUNDS = 0.85, 0.05, 0.98, 10.0, 15
 ON_GOOD, ON_BAD = (0.97, 0.9, 0.998), (0.4, 0.1, 0.95)
 
 
-def counts(docs: DataFrame, text: str) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines, __upper, __letters and __distinct."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__t", t).withColumn("__w", F.filter(F.split("__t", WHITE), lambda x: x != ""))
-    out = out.withColumn("n_words", F.size("__w").cast("long"))
-    hashes = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW))))
+def counts(rows: DataFrame) -> DataFrame:
+    """From rows with __t (a text, not null): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines, __upper, __letters and __distinct, in its place."""
+    rest = [c for c in rows.columns if c != "__t"]
+    out = rows.withColumn("__w", F.filter(F.split("__t", WHITE), lambda x: x != ""))
+    out = out.withColumn("n_words", F.size("__w").cast("long")).withColumn("__x", F.transform("__w", lambda w: F.xxhash64(w)))
+    hashes = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW), lambda i: F.xxhash64(*[F.get("__x", i + k) for k in range(WINDOW)])))
     out = out.withColumn("__h", hashes).withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     repeats = F.size(F.array_distinct("__h")) < F.size("__h")
     out = out.select(
-        *[c for c in out.columns if c not in ("__t", "__w", "__h", "__l", *COUNTS)],
+        *rest,
         "n_words",
-        F.length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").alias("__lines"),
         F.regexp_count("__t", F.lit("[A-Z]")).alias("__upper"),
-        F.regexp_count("__t", F.lit(r"\p{L}")).alias("__letters"),
+        (F.length("__t") - F.regexp_count("__t", F.lit(r"\P{L}"))).alias("__letters"),
         F.size(F.array_distinct("__w")).alias("__distinct"),
         F.when(repeats, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__s"),
     )
@@ -66,6 +71,7 @@ def counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "quality", "kept")
 
 
 def base_failed() -> Column:
@@ -115,11 +121,13 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[t
     return share, right
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``quality`` (posterior probability) and ``kept``."""
-    counted = staged(votes(counts(docs, text)), "quality")
+def quality_rules(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``keep`` columns (all of ``docs`` but those that clash with the added ones), the counts, ``base_failed``, ``quality`` (posterior probability) and ``kept``."""
+    keep = {c: F.col(c) for c in docs.columns if c not in ADDED} if keep is None else keep
+    rows = docs.select(*[c.alias(f"__k{k}") for k, c in enumerate(keep.values())], F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    counted = staged(votes(counts(rows)), "quality")
     names = [f"__v_{r[0]}" for r in RULES]
-    seen = counted.groupBy(*names).count().collect()
+    seen = counted.groupBy(*names).count().collect()  # at most a row a pattern of votes
     share, right = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in seen))
     odds = F.lit(math.log(share / (1 - share)))
     for n, r in zip(names, right, strict=True):
@@ -127,7 +135,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text", threshold: float = 0.5
         odds = odds + F.when(F.col(n) == 1, yes).when(F.col(n) == -1, no).otherwise(0.0)
     out = counted.withColumn("base_failed", base_failed()).withColumn("quality", 1 / (1 + F.exp(-odds)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return out.drop(*names, "__lines", "__upper", "__letters", "__distinct")
+    return out.select(*[F.col(f"__k{k}").alias(n) for k, n in enumerate(keep)], *ADDED)
 
 
 def oracle() -> str:

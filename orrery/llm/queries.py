@@ -58,8 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality_rules.quality_rules(docs.select("doc_id", F.col("text").alias("__text")), text="__text")
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
