@@ -122,7 +122,7 @@ QUERIES = {
     "agg_positives_per_event": both("select round(percentile(n, 0.5), 4) as median, min(n) as lo, max(n) as hi, round(avg(n), 6) as mean from (select o_custkey, count(*) as n from {orders} group by o_custkey) a"),
     "agg_confusion_rows": both("select a, b, n, round(cast(n as double) / sum(n) over (partition by a), 6) as share from (select l_returnflag as a, l_linestatus as b, count(*) as n from {lineitem} group by l_returnflag, l_linestatus) x"),
     "agg_density": both("select label, bin, count(*) as n from (select event_id % 2 as label, cast(floor(ln(p / (1 - p)) * 2) as int) as bin from (select event_id, least(greatest(" + SCORE + ", 0.001), 0.999) as p from {events}) a) b group by label, bin"),
-    "agg_dose_response": (dose_response, both("select bin, count(*) as n, round(avg(x), 4) as dose, round(avg(y), 6) as response from (select l_extendedprice as x, l_discount as y, ntile(5) over (order by l_extendedprice, l_orderkey, l_linenumber) as bin from {lineitem} where l_orderkey % 20 = 0) a group by bin", duck={"select bin, count": "select bin::int as bin, count"})[1]),
+    "agg_dose_response": (dose_response, both("select bin, count(*) as n, round(avg(x), 4) as dose, round(avg(y), 6) as response from (select l_extendedprice as x, l_discount as y, ntile(5) over (order by l_extendedprice, l_orderkey, l_linenumber) as bin from {lineitem}) a group by bin", duck={"select bin, count": "select bin::int as bin, count"})[1]),
     "agg_night_coverage": both("select night, count(*) as tiles, cast(sum(size) as bigint) as p from (select distinct o_custkey % 7 as night, o_custkey % 50 as tile from {orders}) a join (select p_partkey as k, p_size as size from {part} where p_partkey between 1 and 50) b on a.tile + 1 = b.k group by night"),
     "agg_weighted_bincount": both("select s_nationkey as tile, round(sum(s_acctbal), 4) as p, count(*) as n from {supplier} group by s_nationkey"),
     "agg_mixed_outcome": both(
@@ -139,7 +139,7 @@ QUERIES = {
     "win_harmonic": both("select n, round(sum(1 / cast(n as double)) over (order by n rows between unbounded preceding and current row), 9) as h from (select distinct p_size + 1 as n from {part}) a"),
     "win_stable_rank": both("select user_id, r from (select user_id, event_id, row_number() over (partition by user_id order by cast(floor(value / 10) as int) desc, event_id) as r, row_number() over (partition by user_id order by event_id) as k from {events}) a where k = 1", duck={"select user_id, r from": "select user_id, r::int as r from"}),
     "win_pair_mask": both("select o_orderkey, o_custkey from (select o_orderkey, o_custkey, count(*) over (partition by o_custkey) as n from {orders}) a where n >= 12"),
-    "win_dense_remap": (dense_remap, both("select o_orderkey, dense_rank() over (order by o_custkey) - 1 as idx from {orders} where o_custkey % 9 = 0", duck={"dense_rank() over (order by o_custkey) - 1 as idx": "(dense_rank() over (order by o_custkey) - 1)::int as idx"})[1]),
+    "win_dense_remap": (dense_remap, both("select o_orderkey, dense_rank() over (order by o_custkey) - 1 as idx from {orders}", duck={"dense_rank() over (order by o_custkey) - 1 as idx": "(dense_rank() over (order by o_custkey) - 1)::int as idx"})[1]),
     "win_checkpoint_delta": both("select step, v, v > best + 50 as keep from (select step, v, coalesce(max(v) over (order by step rows between unbounded preceding and 1 preceding), 0) as best from (select o_custkey % 40 as step, round(avg(o_totalprice), 2) as v from {orders} group by o_custkey % 40) a) b"),
     "srt_forced_positive": both("select user_id, event_id, slot from (select user_id, event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' and value > 95 then 0 else 1 end, value desc, event_id) as slot from {events}) a where slot <= 6", duck={"event_id, slot from": "event_id, slot::int as slot from"}),
     "srt_exhaustive_galleries": both("select o_custkey, trial, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ordinal from {orders}) a join (select r_regionkey as trial from {region}) t on ordinal = cast(floor(trial / 2) as int)"),

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import core as C
 from ..operators import metrics as M
+from ..operators import resampling as R
+from ..operators import vectors as V
 from .tables import load
 
 PRED_SQL = "pred as (select user_id % 5 as source, event_id, (event_id * 7919 % 1000) / 1000.0::double as score, case when (event_id * 31 + user_id) % 10 < 3 + (event_id * 7919 % 1000) // 250 then 1 else 0 end as label from events)"
@@ -52,8 +54,8 @@ def macro_gap(spark, d):
 
 
 def dt_bins(spark, d):
-    edges = [0.0, 0.1, 0.3, 0.6, 1.0]
-    p = pred(spark, d).withColumn("bin", C.in_bins(F.col("score"), edges, last_closed=False))
+    edges = [0.0, 0.1, 0.3, 0.6, 0.999]
+    p = pred(spark, d).withColumn("bin", C.in_bins(F.col("score"), edges))
     return p.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
 
 
@@ -92,10 +94,7 @@ def retrieval(spark, d):
     """Recall at k, MRR and mAP of the embeddings' neighbours with the query's label, a block of queries against all."""
     e = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    # A stated query set against all rows: both sides meet on the blocks of queries.
-    blocks = 4
-    q = q.withColumn("b", F.floor(F.col("q") / 20) % blocks)
-    pairs = e.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(q, "b").where("vec_id <> q")
+    pairs = V.against_all(q, e, query="q", row="vec_id").where("vec_id <> q")
     sim = F.round(F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 9)
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")
     r = pairs.select("q", "vec_id", (F.col("label") == F.col("ql")).alias("hit"), sim.alias("sim")).withColumn("rank", F.row_number().over(order))
@@ -138,23 +137,54 @@ def trimmed(spark, d):
 
 
 def boot(spark, d):
+    """Mean of the segments' means and its interval over resamples drawn within each segment."""
+    c = load(spark, d, "customer")
+    draws = R.stratified_means(c, stratum="c_mktsegment", key="c_custkey", value="c_acctbal", draws=100)
+    real = c.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("m")).agg(F.round(F.avg("m"), 4).alias("mean"))
+    return R.percentiles(draws, "macro", by=[]).select(F.round("q0", 4).alias("lo"), F.round("q1", 4).alias("hi")).join(F.broadcast(real))  # one row each
+
+
+def flips_macro(spark, d):
+    c = load(spark, d, "supplier").withColumn("v", F.col("s_acctbal") - 4500)
+    return R.sign_flip_macro(c, stratum="s_nationkey", key="s_suppkey", value="v", draws=60).select(F.round("observed", 4).alias("observed"), F.round("p", 6).alias("p"))
+
+
+def poisson_boot(spark, d):
+    """Mean and interval of each segment by Poisson weights: one pass, no draw moves a row."""
     c = load(spark, d, "customer")
     return M.bootstrap(c, by=["c_mktsegment"], value="c_acctbal", key="c_custkey", draws=40).select("c_mktsegment", *[F.round(x, 4).alias(x) for x in ("mean", "q0", "q1")])
 
 
+def group_summary(spark, d):
+    li = load(spark, d, "lineitem").withColumn("v", F.col("l_discount") - F.col("l_tax"))
+    return R.group_summary(li, "v", by=["l_returnflag"], group="l_suppkey").select("l_returnflag", F.round("median", 8).alias("median"), F.round("positive", 6).alias("positive"), "groups")
+
+
+def mad(spark, d):
+    p = load(spark, d, "part").select("p_brand", F.when(F.col("p_partkey") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("x"))
+    return R.location_scale(p, "x", by=["p_brand"], use="mad").select("p_brand", F.round("location", 4).alias("location"), F.round("scale", 5).alias("scale"))
+
+
 def flips(spark, d):
     c = load(spark, d, "supplier").withColumn("v", F.col("s_acctbal") - 4500)
     return M.sign_flip(c, by=["s_nationkey"], value="v", key="s_suppkey", draws=50).select("s_nationkey", F.round("mean", 4).alias("mean"), F.round("p", 6).alias("p"))
 
 
+def panel(spark, d):
+    """Discounts as a metric: return flags are scenarios, tens of suppliers coordinates, line states models."""
+    li = load(spark, d, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("scenario"), (F.col("l_suppkey") % 10).alias("coordinate"), F.col("l_linestatus").alias("model")).agg(F.avg("l_discount").alias("v"))
+
+
 def two_way(spark, d):
-    """Scenario by coordinate bootstrap: draws of both sides from key hashes, shared by all cells."""
-    li = load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("s"), (F.col("l_suppkey") % 10).alias("c")).agg(F.avg("l_discount").alias("v"))
-    r = li.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    w = lambda n, c: 1 + C.hash32(C.key_of(n, F.col(c), F.col("draw"))) % 3
-    ww = w("s", "s") * w("c", "c")
-    m = r.groupBy("draw").agg((F.sum(ww * F.col("v")) / F.sum(ww)).alias("m"))
-    return m.agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"))
+    """Scenario by coordinate bootstrap of each model."""
+    s = R.two_way(panel(spark, d), scenario="scenario", coordinate="coordinate", model="model", value="v", draws=60)
+    return R.percentiles(s, "m", by=["model"]).select("model", F.round("q0", 7).alias("lo"), F.round("q1", 7).alias("hi"))
+
+
+def two_way_deltas(spark, d):
+    s = R.two_way(panel(spark, d), scenario="scenario", coordinate="coordinate", model="model", value="v", draws=60)
+    return R.paired_deltas(s, "O", model="model").select("baseline", F.round("lo", 7).alias("lo"), F.round("hi", 7).alias("hi"), F.round("positive", 6).alias("positive"))
 
 
 W_POISSON = "case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 else 5 end"
@@ -165,6 +195,12 @@ RANK_SQL = f"{GALLERY_SQL}, q as (select *, max(case when is_positive then score
 REC = lambda k: f"least(1.0, greatest(0.0, ({k} - above) / (tied + 1.0::double)))"
 RR = "list_sum(list_transform(range(above + 1, above + tied + 2), lambda x: 1.0::double / x)) / (tied + 1)"
 
+#: Every pick of a scenario with every pick of a coordinate, written out.
+TWO_WAY_SQL = f"""p as (select l_returnflag as s, l_suppkey % 10 as c, l_linestatus as model, avg(l_discount) as v from lineitem group by all),
+sn as (select s, row_number() over (order by s) - 1 as k, count(*) over () as n from (select distinct s from p) x), cn as (select c, row_number() over (order by c) - 1 as k, count(*) over () as n from (select distinct c from p) x),
+sp as (select draw, {H("'two-way|scenario|' || draw || '|' || k")} % n as k from sn, range(1, 61) as r(draw)), cp as (select draw, {H("'two-way|coordinate|' || draw || '|' || k")} % n as k from cn, range(1, 61) as r(draw)),
+m as (select model, draw, avg(v) as m from sp join sn using (k) join cp using (draw) join cn on cp.k = cn.k join p on p.s = sn.s and p.c = cn.c group by all)"""
+
 QUERIES = {
     "cls_auroc": (auroc, f"with {CURVE_SQL} select source, round(sum(n * (tp - p / 2.0::double)) / (max(pp) * max(nn)), 6) as auroc from k group by source"),
     "cls_auprc": (auprc, f"with {CURVE_SQL} select source, round(sum(p / pp * tp / (tp + fp)), 6) as auprc from k group by source"),
@@ -177,7 +213,7 @@ QUERIES = {
         select *, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from c""",
     ),
     "agg_source_macro": (macro_gap, f"with {PRED_SQL}, c as (select source, avg(((score >= 0.5)::int = label)::int) as a, count(*) filter (score >= 0.5 and label = 1) / count(*) filter (label = 1) as r from pred group by source) select round(avg(a), 6) as macro, round(max(a) - min(a), 6) as gap, round(min(r), 6) as worst_recall from c"),
-    "agg_bins": (dt_bins, f"with {PRED_SQL} select case when score < 0.1 then 0 when score < 0.3 then 1 when score < 0.6 then 2 else 3 end as bin, count(*) as n, round(avg(label::double), 6) as rate from pred where score < 1.0 group by 1"),
+    "agg_bins": (dt_bins, f"with {PRED_SQL} select case when score < 0.1 then 0 when score < 0.3 then 1 when score < 0.6 then 2 else 3 end as bin, count(*) as n, round(avg(label::double), 6) as rate from pred where score <= 0.999 group by 1"),
     "cls_prefix_buckets": (
         prefix_buckets,
         f"""with {PRED_SQL}, k as (select *, event_id % 9 + 1 as k from pred), b as (select *, case when k between 2 and 5 then 'k' || k when k >= 6 then 'k6plus' end as bucket from k union all select *, 'terminal' from k)
@@ -188,7 +224,7 @@ QUERIES = {
     "agg_log_weighted": (log_weighted, f"with {RANK_SQL}, e as (select gallery % 4 as source, {RR} as rr, log10(size) as w from r) select source, round(sum(w * rr) / sum(w), 6) as macro from e group by source"),
     "ret_embedding_metrics": (
         retrieval,
-        """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as q, e.vec_id, e.label = q.label as hit, round(list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])), 9) as sim from e, e q where q.vec_id % 25 = 0 and e.vec_id <> q.vec_id),
+        """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as q, e.vec_id, e.label = q.label as hit, round(list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])), 9) as sim from e, e q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id),
         r as (select *, row_number() over w as rank, sum(hit::int) over (partition by q order by sim desc, vec_id rows unbounded preceding) as hits from s window w as (partition by q order by sim desc, vec_id))
         select q, min(rank)::int as first, (min(rank) <= 5)::int as recall_at_5, round(1.0::double / min(rank), 6) as rr, round(avg(hits / rank), 6) as ap from r where hit group by q""",
     ),
@@ -208,7 +244,29 @@ QUERIES = {
     "stat_trimmed_mean": (trimmed, "with r as (select *, row_number() over (partition by o_orderpriority order by o_totalprice) as r, count(*) over (partition by o_orderpriority) as n from orders) select o_orderpriority, round(avg(o_totalprice), 4) as trimmed from r where r > floor(n * 0.05) and r <= n - floor(n * 0.05) group by 1"),
     "stat_bootstrap": (
         boot,
-        f"""with u as (select c_mktsegment, c_acctbal, draw, {H("'boot|' || c_custkey || '|' || draw")} / 4294967296.0::double as u from customer, range(1, 41) as r(draw) where c_custkey % 3 = 0), w as (select *, {W_POISSON} as w from u),
+        f"""with c as (select c_mktsegment as s, c_acctbal as v, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as k, count(*) over (partition by c_mktsegment) as n from customer),
+        p as (select s, draw, {H("'boot|' || s || '|' || draw || '|' || k")} % n as k from c, range(1, 101) as r(draw)), m as (select s, draw, avg(v) as m from p join c using (s, k) group by all), b as (select draw, avg(m) as macro from m group by 1),
+        o as (select avg(m) as mean from (select avg(v) as m from c group by s) x)
+        select round(quantile_cont(macro, 0.025), 4) as lo, round(quantile_cont(macro, 0.975), 4) as hi, round(any_value(mean), 4) as mean from b, o""",
+    ),
+    "stat_sign_flip_macro": (
+        flips_macro,
+        f"""with s as (select s_nationkey, s_suppkey, s_acctbal - 4500 as v from supplier), o as (select avg(m) as observed from (select avg(v) as m from s group by s_nationkey) x),
+        m as (select draw, avg(m) as m from (select s_nationkey, draw, avg(case when {H("'flip|' || s_nationkey || '|' || s_suppkey || '|' || draw")} % 2 = 0 then v else -v end) as m from s, range(1, 61) as r(draw) group by all) y group by draw)
+        select round(observed, 4) as observed, round((1 + count(*) filter (m >= observed - 1e-12)) / 61.0::double, 6) as p from m, o group by observed""",
+    ),
+    "stat_group_summary": (
+        group_summary,
+        """with g as (select l_returnflag, l_suppkey, avg(l_discount - l_tax) as m from lineitem group by all) select l_returnflag, round(quantile_cont(m, 0.5), 8) as median, round(count(*) filter (m > 0) / count(*), 6) as positive, count(*) as groups from g group by 1""",
+    ),
+    "stat_mad_scale": (
+        mad,
+        """with x as (select p_brand, p_retailprice as x from part where p_partkey % 13 <> 0), c as (select p_brand, quantile_cont(x, 0.5) as c, stddev_pop(x) as sd from x group by 1), s as (select p_brand, any_value(c) as c, any_value(sd) as sd, 1.4826 * quantile_cont(abs(x - c), 0.5) as mad from x join c using (p_brand) group by 1)
+        select p_brand, round(c, 4) as location, round(case when mad > 1e-12 then mad when sd > 1e-12 then sd else 1 end, 5) as scale from s""",
+    ),
+    "stat_poisson_bootstrap": (
+        poisson_boot,
+        f"""with u as (select c_mktsegment, c_acctbal, draw, {H("'boot|' || c_custkey || '|' || draw")} / 4294967296.0::double as u from customer, range(1, 41) as r(draw)), w as (select *, {W_POISSON} as w from u),
         m as (select c_mktsegment, draw, sum(w * c_acctbal) / sum(w) as m from w group by all) select c_mktsegment, round(avg(m), 4) as mean, round(quantile_cont(m, 0.025), 4) as q0, round(quantile_cont(m, 0.975), 4) as q1 from m group by 1""",
     ),
     "stat_sign_flip": (
@@ -216,9 +274,9 @@ QUERIES = {
         f"""with s as (select s_nationkey, s_suppkey, s_acctbal - 4500 as v from supplier), a as (select s_nationkey, avg(v) as mean from s group by 1), m as (select s_nationkey, draw, avg(case when {H("'flip|' || s_suppkey || '|' || draw")} % 2 = 0 then v else -v end) as m from s, range(1, 51) as r(draw) group by all)
         select s_nationkey, round(mean, 4) as mean, round((count(*) filter (abs(m) >= abs(mean) - 1e-12) + 1) / 51.0, 6) as p from m join a using (s_nationkey) group by s_nationkey, mean""",
     ),
-    "stat_two_way_bootstrap": (
-        two_way,
-        f"""with l as (select l_returnflag as s, l_suppkey % 10 as c, avg(l_discount) as v from lineitem group by all), w as (select *, (1 + {H("'s|' || s || '|' || draw")} % 3) * (1 + {H("'c|' || c || '|' || draw")} % 3) as w from l, range(1, 21) as r(draw)), m as (select draw, sum(w * v) / sum(w) as m from w group by draw)
-        select round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from m""",
+    "stat_two_way_bootstrap": (two_way, f"with {TWO_WAY_SQL} select model, round(quantile_cont(m, 0.025), 7) as lo, round(quantile_cont(m, 0.975), 7) as hi from m group by model"),
+    "stat_two_way_deltas": (
+        two_way_deltas,
+        f"with {TWO_WAY_SQL}, x as (select b.model as baseline, r.m - b.m as delta from m b join m r using (draw) where r.model = 'O' and b.model <> 'O') select baseline, round(quantile_cont(delta, 0.025), 7) as lo, round(quantile_cont(delta, 0.975), 7) as hi, round(count(*) filter (delta > 0) / count(*), 6) as positive from x group by 1",
     ),
 }
