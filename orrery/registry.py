@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalogs, extras, galleries, joins, lightcurves, scores
+from .plans import catalogs, contracts, extras, galleries, joins, lightcurves, scores
 
-QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES, **extras.QUERIES, **galleries.QUERIES}
+QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES, **extras.QUERIES, **galleries.QUERIES, **contracts.QUERIES}
 
 
 def queries() -> dict:
