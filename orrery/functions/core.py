@@ -144,3 +144,138 @@ def in_bins(x: Column, edges: list[float], *, last_closed: bool = True) -> Colum
         upper = x <= b if last_closed and k == len(edges) - 2 else x < b
         out = F.when((x >= a) & upper, F.lit(k)).otherwise(out)
     return out
+
+
+#: For each of the twelve base pixels, its row and column on the sphere.
+FACE_ROW = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
+FACE_COLUMN = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
+MOST_ORDER = 29
+
+
+def _spread(x: Column, bits: int) -> Column:
+    """The lowest ``bits`` bits of x at every second place."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out + F.shiftleft(F.shiftright(x, k).bitwiseAND(1), 2 * k)
+    return out
+
+
+def _gather(x: Column, bits: int) -> Column:
+    """Every second bit of x."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out + F.shiftleft(F.shiftright(x, 2 * k).bitwiseAND(1), k)
+    return out
+
+
+def ang2pix_nest(order: int, ra: Column, dec: Column) -> Column:
+    """HEALPix NEST pixel of a position in degrees."""
+    nside = 1 << order
+    z, tt = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / F.lit(90.0)
+    t1, t2 = F.lit(float(nside)) * (F.lit(0.5) + tt), F.lit(nside * 0.75) * z
+    jp, jm = F.floor(t1 - t2), F.floor(t1 + t2)
+    fp, fm = F.shiftright(jp, order), F.shiftright(jm, order)
+    face = F.when(fp == fm, fp.bitwiseOR(4)).when(fp < fm, fp).otherwise(fm + 8)
+    x, y = jm.bitwiseAND(nside - 1), F.lit(nside - 1) - jp.bitwiseAND(nside - 1)
+    quarter = F.least(F.lit(3).cast("long"), F.floor(tt))
+    tp, edge = tt - quarter, F.lit(float(nside)) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - F.abs(z)))
+    cp, cm = F.least(F.floor(tp * edge), F.lit(nside - 1).cast("long")), F.least(F.floor((F.lit(1.0) - tp) * edge), F.lit(nside - 1).cast("long"))
+    polar = F.abs(z) > F.lit(2 / 3)
+    face = F.when(polar, F.when(z >= 0, quarter).otherwise(quarter + 8)).otherwise(face)
+    x = F.when(polar, F.when(z >= 0, nside - 1 - cm).otherwise(cp)).otherwise(x)
+    y = F.when(polar, F.when(z >= 0, nside - 1 - cp).otherwise(cm)).otherwise(y)
+    return face * (nside * nside) + _spread(x, order) + F.shiftleft(_spread(y, order), 1)
+
+
+def pix2ang_nest(order: Column | int, pixel: Column, most: int = MOST_ORDER) -> tuple[Column, Column]:
+    """Right ascension and declination in degrees of a NEST pixel's centre; orders may differ by row, up to ``most``."""
+    order = F.lit(order) if isinstance(order, int) else order
+    nside = F.pow(F.lit(2.0), order).cast("long")
+    face = F.floor(pixel / (nside * nside)).cast("int")
+    inside = pixel - face * nside * nside
+    x, y = _gather(inside, most), _gather(F.shiftright(inside, 1), most)
+    row = F.element_at(F.array(*[F.lit(v) for v in FACE_ROW]), face + 1) * nside - x - y - 1
+    north, south = row < nside, row > 3 * nside
+    ring = F.when(north, row).when(south, 4 * nside - row).otherwise(nside)
+    cap = 1 - ring * ring / (F.lit(3.0) * nside * nside)
+    z = F.when(north, cap).when(south, -cap).otherwise((2 * nside - row) * 2 / (F.lit(3.0) * nside))
+    shift = F.when(north | south, F.lit(0).cast("long")).otherwise((row - nside).bitwiseAND(1))
+    place = F.floor((F.element_at(F.array(*[F.lit(v) for v in FACE_COLUMN]), face + 1) * ring + x - y + 1 + shift) / 2)
+    place = F.when(place > 4 * ring, place - 4 * ring).when(place < 1, place + 4 * ring).otherwise(place)
+    return (place - (shift + 1) * F.lit(0.5)) * (F.lit(90.0) / ring), F.degrees(F.asin(z))
+
+
+def pix2ang_ring(nside: int, pixel: Column) -> tuple[Column, Column]:
+    """Right ascension and declination in degrees of a RING pixel's centre."""
+    cap, every = 2 * nside * (nside - 1), 12 * nside * nside
+    back = F.lit(every) - pixel
+    ring_of = lambda x: F.floor((F.lit(1.0) + F.sqrt(x)) / 2)
+    n, s = ring_of(2.0 * pixel + 1), ring_of(2.0 * back - 1)
+    belt = F.floor((pixel - cap) / (4 * nside)) + nside
+    column = F.pmod(pixel - cap, F.lit(4 * nside)) + 1
+    half = F.when((belt + nside) % 2 == 1, 1.0).otherwise(0.5)
+    third = F.lit(3.0 * nside * nside)
+    north, south = pixel < cap, pixel >= every - cap
+    z = F.when(north, 1 - n * n / third).when(south, s * s / third - 1).otherwise((2 * nside - belt) * 2 / F.lit(3.0 * nside))
+    ra = F.when(north, (pixel + 1 - 2 * n * (n - 1) - 0.5) * 90.0 / n).when(south, (4 * s + 1 - (back - 2 * s * (s - 1)) - 0.5) * 90.0 / s).otherwise((column - half) * 90.0 / nside)
+    return ra, F.degrees(F.asin(z))
+
+
+#: The increment and the two multipliers of SplitMix64.
+SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _times64(x: Column, by: int) -> Column:
+    """Product modulo 2**64 of a long (as bits) and a constant: four products of 32 bits, none of which overflows a decimal."""
+    low, high = x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)
+    a, b = by & 0xFFFFFFFF, by >> 32
+    d = lambda c: c.cast("decimal(20,0)")
+    low_low = d(low) * F.lit(a).cast("decimal(10,0)")
+    cross = F.pmod(d(low) * F.lit(b).cast("decimal(10,0)") + d(high) * F.lit(a).cast("decimal(10,0)"), F.lit(1 << 32).cast("decimal(20,0)"))
+    whole = F.pmod(low_low + cross * F.lit(1 << 32).cast("decimal(10,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)"))
+    return signed64(whole)
+
+
+def signed64(x: Column) -> Column:
+    """A whole number below 2**64 as the long of the same bits."""
+    return F.when(x >= F.lit(str(1 << 63)).cast("decimal(38,0)"), x - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(x).cast("long")
+
+
+def unsigned64(x: Column) -> Column:
+    """A long's bits as a whole number of 0 or more."""
+    d = x.cast("decimal(20,0)")
+    return F.when(x < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d)
+
+
+def splitmix64(seed: int, index: Column) -> Column:
+    """SplitMix64 of a row's index and a seed, as the long of the same bits."""
+    plus = F.lit(str((seed + SPLITMIX[0]) % (1 << 64))).cast("decimal(20,0)")
+    x = signed64(F.pmod(unsigned64(index) + plus, F.lit(str(1 << 64)).cast("decimal(38,0)")))
+    for shift, by in ((30, SPLITMIX[1]), (27, SPLITMIX[2])):
+        x = _times64(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), by)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+
+
+#: What a simulator's log says if the survey did not look there.
+NO_COVERAGE = ("Every generated event fails NEPOCH>=2", "Could not find SIMLIB HEADER passing GENRANGE_XXX cuts")
+
+
+def log_outcome(code: Column, detail: Column) -> Column:
+    """status and reason of a simulation that ended with an exit code and a log text."""
+    text = F.coalesce(detail, F.lit(""))
+    expected = F.lit(False)
+    for said in NO_COVERAGE:
+        expected = expected | text.contains(said)
+    failed = F.concat(F.lit("snlc_sim_exit_"), code.cast("string"), F.when(text != "", F.concat(F.lit(": "), text)).otherwise(""))
+    return F.struct(F.when(expected, "skipped").otherwise("failed").alias("status"), F.when(expected, "rubin_observation_requirements_not_met").otherwise(failed).alias("reason"))
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as JSON text with sorted keys, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def scan_seconds(filters: Column, exposure: Column, tiles: Column, overhead: float, change: float) -> Column:
+    """Time of one scan of all tiles in all filters; null unless there are filters, tiles and a positive exposure."""
+    n = F.size(filters)
+    return F.when((n > 0) & (exposure > 0) & (tiles > 0), n * tiles * (exposure + F.lit(overhead)) + F.greatest(F.lit(0), n - 1) * F.lit(change))
