@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, distinct_words, parts, slices, staged, sums, with_place
+from .common import discard, distinct_words, flat_binary, lean, parts, slices, staged, sums, with_place
 from .word_table import PART, counted, least_count
 
 #: Words whose rows are broadcast, at most; the others' are joined.
-COMMON = 800_000
+COMMON = 500_000
 #: White space to the tokenizer; to Python and Arrow also 1C to 1F.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -68,28 +68,53 @@ def tokenizer(path: str):
     return t
 
 
+def width(t) -> type:
+    """The number type that holds any id of the tokenizer."""
+    return np.uint16 if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """word, n, ids of each distinct word."""
+    """word, n, ids and code (the ids as bytes) of each distinct word."""
 
     def emit(batches):
         t = tokenizer(path)
+        kind = width(t)
         for b in batches:
             found = []
             for k in range(0, b.num_rows, 4096):
                 found += [e.ids for e in t.encode_batch_fast(b.column("word").slice(k, 4096).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            code = [np.array(x, kind).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(found, pa.list_(pa.int32())), pa.array(code, pa.binary())], ["word", "n", "ids", "code"])
 
-    return words.select("word", "n").mapInArrow(emit, "word string, n long, ids array<int>")
+    return words.select("word", "n").mapInArrow(lean(emit), "word string, n long, ids array<int>, code binary")
 
 
-def decoded(table: DataFrame, path: str) -> DataFrame:
-    """word, n, size, ids and pieces (both joined by a space) from rows (word, n, ids): ids meet their pieces by a join."""
-    t = tokenizer(path)
+def decoded(table: DataFrame, t) -> DataFrame:
+    """word, n, code and pieces (joined by a space) from rows (word, n, ids, code): ids meet their pieces by a join."""
     pieces = [(i, t.id_to_token(i) or "") for i in range(t.get_vocab_size(with_added_tokens=True))]
     names = F.broadcast(table.sparkSession.createDataFrame(pieces, "id int, piece string"))  # as long as the vocabulary
-    each = table.select("word", "n", F.posexplode_outer("ids").alias("at", "id")).join(names, "id", "left")
-    whole = each.groupBy("word").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("x"))
-    return whole.select("word", "n", F.size("x").alias("size"), F.array_join(F.col("x.id").cast("array<string>"), " ").alias("ids"), F.array_join("x.piece", " ").alias("pieces"))
+    each = table.select("word", "n", "code", F.posexplode_outer("ids").alias("at", "id")).join(names, "id", "left")
+    whole = each.groupBy("word").agg(F.max("n").alias("n"), F.any_value("code").alias("code"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "piece")))).alias("x"))
+    return whole.select("word", "n", "code", F.array_join("x.piece", " ").alias("pieces"))
+
+
+def packed_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_table(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all().combine_chunks()
+
+
+def rendered(code: pa.Array, kind: type, digits: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many ids each code has, and the ids in decimal, joined by a space."""
+    data, ends = flat_binary(code)
+    ends = ends // np.dtype(kind).itemsize
+    each = digits.take(pa.array(data.view(kind).astype(np.int32)))
+    return np.diff(ends), pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each), " ")
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -109,16 +134,18 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: dict[str, Co
     rows = with_place(docs, [*[c.alias(f"__k{k}") for k, c in enumerate(keep.values())], F.col(text).alias("text")])
     own = [f"__k{k}" for k in range(len(names))]
     bare = staged(encoded(counted(rows, split), path), "encoded")
-    table = staged(decoded(bare, path), "words")
+    t = tokenizer(path)
+    kind, vocabulary = width(t), t.get_vocab_size(with_added_tokens=True)
+    table = staged(decoded(bare, t), "words")
     discard(bare)
     least = least_count(table, COMMON)
     # Commonest first: small numbers for most words make short texts of places.
-    common = table.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"]).combine_chunks()
-    held = docs.sparkSession.sparkContext.broadcast(common)
+    common = table.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"])
+    held = docs.sparkSession.sparkContext.broadcast(packed_table(common))
 
     def placed(batches):
         """Of each part of a batch: its first row, its last, distinct words, index, offsets and each word's place (0: not common)."""
-        known = held.value.column("word").combine_chunks()
+        known = unpacked_table(held.value).column("word").combine_chunks()
         for b in batches:
             for lo, hi in parts(b.column("text"), PART):
                 words, index, at = split(b.column("text").slice(lo, hi - lo))
@@ -142,35 +169,39 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: dict[str, Co
 
     fields = [T.StructField(n, rows.schema[c].dataType) for n, c in zip(names, own, strict=True)]
     key = [T.StructField("__file", T.LongType()), T.StructField("__pos", T.LongType())]
-    tail = rows.select("__file", "__pos", "text").mapInArrow(others, "__file long, __pos long, slot int, word string")
-    tail = tail.join(table.where(F.col("n") < least).drop("n"), "word").select("__file", "__pos", F.struct("slot", "size", "ids", "pieces").alias("x"))
-    tail = staged(tail.groupBy("__file", "__pos").agg(F.sort_array(F.collect_list("x")).alias("rest")), "rest")
+    tail = rows.select("__file", "__pos", "text").mapInArrow(lean(others), "__file long, __pos long, slot int, word string")
+    tail = staged(tail.join(table.where(F.col("n") < least).drop("n"), "word").select("__file", "__pos", "slot", "code", "pieces"), "rest")
     discard(table)
-    texts = rows.mapInArrow(skeleton, T.StructType([*key, *[rows.schema[c] for c in own], T.StructField("words", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    tail = tail.groupBy("__file", "__pos").agg(F.sort_array(F.collect_list(F.struct("slot", "code", "pieces"))).alias("rest"))
+    texts = rows.mapInArrow(lean(skeleton), T.StructType([*key, *[rows.schema[c] for c in own], T.StructField("words", T.LongType()), T.StructField("packed", T.BinaryType())]))
     whole = texts.join(tail, ["__file", "__pos"], "left").drop("__file", "__pos")
 
     def finish(batches):
-        known, blank = held.value, pa.array([""])
+        digits = pa.array([str(i) for i in range(vocabulary)])
+        known = unpacked_table(held.value)
+        size, ids = rendered(known.column("code").combine_chunks(), kind, digits)
+        size = np.concatenate([[0], size])
+        ids, text = (pa.concat_arrays([pa.array([""]), x]) for x in (ids, known.column("pieces").combine_chunks()))
         for b in batches:
             count = b.column("words").to_numpy()
             for lo, hi in parts_of(count):
                 at = np.concatenate([[0], np.cumsum(count[lo:hi])]).astype(np.int64)
                 place = np.concatenate([np.zeros(0, np.int64), *[unpack_places(p, n) for p, n in zip(b.column("packed").slice(lo, hi - lo).to_pylist(), count[lo:hi].tolist(), strict=True)]])
                 rest = b.column("rest").slice(lo, hi - lo).flatten()  # the rest's words, row by row and by slot
-                place[place == 0] = known.num_rows + 1 + np.arange(len(rest))
-                size = np.concatenate([[0], known.column("size").to_numpy(), rest.field("size").to_numpy()]).astype(np.int64)[place]
-                bounds, some = np.concatenate([[0], np.cumsum(size > 0)])[at], pa.array(place[size > 0])
-                done = [pa.array(sums(size, at))]
-                for c in ("ids", "pieces"):
-                    each = pa.concat_arrays([blank, *known.column(c).chunks, rest.field(c)]).take(some)
-                    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), " ")
-                    done.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in lines], pa.string()))
+                place[place == 0] = len(size) + np.arange(len(rest))
+                more, others = rendered(rest.field("code"), kind, digits)
+                each = np.concatenate([size, more])[place]
+                bounds, some = pa.array(np.concatenate([[0], np.cumsum(each > 0)])[at].astype(np.int32)), pa.array(place[each > 0])
+                done = [pa.array(sums(each, at))]
+                for x, y in ((ids, others), (text, rest.field("pieces"))):
+                    lines = pc.binary_join(pa.ListArray.from_arrays(bounds, pa.concat_arrays([x, y]).take(some)), " ")
+                    done.append(pa.array([hashlib.sha256(z.as_buffer()).hexdigest() for z in lines], pa.string()))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in own], *done], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     done = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return whole.mapInArrow(finish, done)
+    return whole.mapInArrow(lean(finish), done)
 
 
-def parts_of(count: np.ndarray, most: int = 4_000_000):
+def parts_of(count: np.ndarray, most: int = 700_000):
     """(first, last) of runs of rows of about ``most`` words."""
     yield from slices(np.concatenate([[0], np.cumsum(count)]), most)

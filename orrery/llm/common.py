@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 
 _LOCAL: dict[str, str] = {}
+ROWS_A_FILE = 100_000
+#: Ids of 8 bytes that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, most_rows: int | None = None, *, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here,
     and a lost executor costs a read instead of a recomputation.
 
-    Nothing reads the write's shuffles again, so Spark deletes their files when it ends.
+    Nothing reads the write's shuffles again, so Spark deletes their files when it ends.  A bound on the rows, if known,
+    gives the number of files, so that a short table isn't a file for each partition; it is for what comes out of a
+    shuffle, as the last stage gets no more tasks than files.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        files = -(-most_rows // ROWS_A_FILE)
+    if files is not None:
+        df = df.coalesce(max(1, files))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
@@ -77,16 +88,21 @@ def with_place(docs: DataFrame, columns: list[Column]) -> DataFrame:
         return staged(rows, "rows").select(*rows.columns, *place)
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """Staged ids, marked for broadcast if they are few enough for any executor; more of them are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def doc_remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string column as one byte array and the n + 1 offsets of its values (null: empty)."""
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column as one byte array and the n + 1 offsets of its values (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     n, offset = len(column), column.offset
     _, at, data = column.buffers()
     offsets = np.frombuffer(at, np.int64, offset + n + 1)[offset:] if n else np.zeros(1, np.int64)
@@ -94,6 +110,34 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column as one byte array and the n + 1 offsets of its values (null: empty)."""
+    return flat_binary(column.cast(pa.large_string()).cast(pa.large_binary()))
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(emit):
+    """``emit`` for mapInArrow, such that what a batch has used is given back before the next one and at the end."""
+
+    def run(batches):
+        def fed():
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
+        yield from emit(fed())
+        give_back()
+
+    return run
+
+
 def distinct_words(texts: pa.Array, *, unicode_space: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of the texts (null: empty), the place among them of each word, and the texts' n + 1 offsets in words.
 

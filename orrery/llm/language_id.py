@@ -34,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_utf8
+from .common import flat_utf8, lean
 
 #: White space before a text, bytes in an alphabet, bytes of finished rows, and the most labels.
 SPACE, ALL, DENSE, MOST_LANGUAGES = 32, 256, 24_000_000, 512
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits of difference per which the score doubles its odds, for long texts: evidence counts up to so many bytes.
 EVIDENCE = 48
 
@@ -47,7 +47,7 @@ def codes(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, symbol: np.nd
     """For bytes lo..hi as symbols: the symbol, and the first, second and third before it (white space before a text)."""
     space = int(symbol[SPACE])
     s = symbol[data[max(lo - 3, 0) : hi]]
-    s = np.concatenate([np.full(3 - min(lo, 3), space), s]).astype(np.int64)
+    s = np.concatenate([np.full(3 - min(lo, 3), space), s]).astype(np.int32)
     own, back = s[3:], [s[2:-1].copy(), s[1:-2].copy(), s[:-3].copy()]
     starts = offsets[(offsets[:-1] >= lo - 2).nonzero()[0]] if len(offsets) > 1 else offsets[:0]
     starts = starts[starts < hi]
@@ -189,7 +189,7 @@ def train(labelled: DataFrame, *, text: str, lang: str, key: str, max_train_docs
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # a row a language
     part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(1_000_000 * min(1, max_train_docs / r["n"], each / max(r["size"], 1))))) for r in sizes], F.lit(0))
     rows = rows.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1_000_000)) < part)
-    grams = rows.select("t", "lang").mapInArrow(lambda bs: count_grams(bs, "t", "lang"), "lang string, gram long, n long")
+    grams = rows.select("t", "lang").mapInArrow(lean(lambda bs: count_grams(bs, "t", "lang")), "lang string, gram long, n long")
     got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(names)
     which = np.searchsorted(langs, got.column("lang").to_pylist()) if got.num_rows else np.zeros(0, int)
@@ -199,7 +199,7 @@ def train(labelled: DataFrame, *, text: str, lang: str, key: str, max_train_docs
 def lengths(data: np.ndarray, offsets: np.ndarray, trees: Trees) -> np.ndarray:
     """[document, language]: exact code length of each whole text, in bits."""
     total = np.zeros((len(offsets) - 1, len(trees.langs)))
-    step = max(1024, 4 * CHUNK // max(4, len(trees.langs)))
+    step = max(1024, 4 * CHUNK // max(4, len(trees.langs)))  # positions times languages at a time
     for lo in range(0, len(data), step):
         hi = min(lo + step, len(data))
         own, (one, two, three) = codes(data, offsets, lo, hi, trees.symbol)
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Trees | None, *, text: str, keep: dict[str, Co
                         best[k], p[k] = len(langs), 0.0
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(names[best], pa.string()), pa.array(p)], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(emit, out)
+    return rows.mapInArrow(lean(emit), out)
 
 
 def language_id(docs: DataFrame, labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 1500, max_train_bytes: int = 16_000_000) -> DataFrame:

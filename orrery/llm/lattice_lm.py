@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_words, parts, staged
+from .common import distinct_words, lean, parts, staged
 from .word_table import PART, counted, least_count
 
 RANK, PRIOR = 100.0, 2000.0
@@ -109,7 +109,7 @@ def piece_counts(words: DataFrame, model_file: str) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "n"])
 
-    got = words.where("n_own > 0").select("word", "n_own").mapInArrow(emit, "piece int, n long")
+    got = words.where("n_own > 0").select("word", "n_own").mapInArrow(lean(emit), "piece int, n long")
     return {r["piece"]: r["n"] for r in got.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most one row a piece
 
 
@@ -136,7 +136,7 @@ def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "te
             lm = [word(w) / math.log(10) for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array((own > 0).astype(np.int64)), pa.array(np.log10((own + 0.5) / below)), pa.array(lm, pa.float64())], ["word", "n", "known", "base", "lm"])
 
-    scored = staged(table.mapInArrow(probabilities, "word string, n long, known long, base double, lm double"), "scored")
+    scored = staged(table.mapInArrow(lean(probabilities), "word string, n long, known long, base double, lm double"), "scored")
     least = least_count(scored)
     common = scored.where(F.col("n") >= least).select("word", "known", "base", "lm").toArrow()
     values = np.zeros((3, common.num_rows + 1))  # the last for words that aren't common
@@ -168,7 +168,7 @@ def lm_score(docs: DataFrame, train: Column, model_file: str, *, text: str = "te
                 new = [np.concatenate([np.diff(at) + 1, none.astype(np.int64)]), pa.concat_arrays([pa.nulls(n, pa.string()), words.take(pa.array(word))]), np.concatenate([np.ones(n, np.int64), times.astype(np.int64)]), *[np.concatenate([x, none]) for x in total]]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in new]], ["__row", *names, *added])
 
-    pieces = staged(rows.drop("__train").withColumn("__row", F.monotonically_increasing_id()).mapInArrow(emit, schema), "parts")
+    pieces = staged(rows.drop("__train").withColumn("__row", F.monotonically_increasing_id()).mapInArrow(lean(emit), schema), "parts")
     one = pieces.where("word is null").select("__row", *names, "tokens", "known", "base", "lm")
     rest = pieces.where("word is not null").select("__row", "word", "times").join(scored.where(F.col("n") < least), "word")
     rest = rest.groupBy("__row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "lm")])

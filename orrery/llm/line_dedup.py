@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, mix, parts, staged
+from .common import discard, join_hot, lean, mix, parts, staged
 
 _U = np.uint64
 
@@ -107,13 +107,14 @@ def repeated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_wo
                 yield pa.RecordBatch.from_arrays([b.column("doc").take(take), b.column("digest").take(take), *lists, pa.array(marks, pa.list_(pa.int32()))], ["doc", "digest", "one", "two", "words", "marks"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    lines = staged(rows.mapInArrow(fingerprints, "doc long, digest long, one array<long>, two array<long>, words array<long>, marks array<int>"), "lines")
+    lines = staged(rows.mapInArrow(lean(fingerprints), "doc long, digest long, one array<long>, two array<long>, words array<long>, marks array<int>"), "lines")
 
     # Positions, joined on their fingerprints: those that have an equal elsewhere.
     positions = lines.select("doc", "digest", F.explode("marks").alias("at"), F.element_at("one", F.col("at") + 1).alias("mark"))
     place = F.struct("doc", "at")
     marks = positions.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
-    shared = staged(marks, "marks")
+    most = lines.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+    shared = staged(marks, "marks", most // 2)
     found = join_hot(positions, shared, ["mark"]).select("doc", "digest", "at")
     found = found.groupBy("doc", "digest").agg(F.sort_array(F.collect_set("at")).alias("shared"))
     candidates = lines.drop("marks").join(found, ["doc", "digest"])
@@ -122,20 +123,26 @@ def repeated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_wo
         """The windows that hold a shared position as their minimum, by the hash of all their lines."""
         for b in batches:
             one, two, words, shared = (b.column(c) for c in ("one", "two", "words", "shared"))
+            which, out = [], [[], [], []]
             for k in range(b.num_rows):
                 hashes = np.stack([x[k].values.to_numpy().view(np.uint64) for x in (one, two)], 1)
                 first, last = windows(words[k].values.to_numpy(), min_words)
                 held = np.isin(minima(hashes[:, 0], first, last), shared[k].values.to_numpy())
                 first, last = first[held], last[held]
-                whole = extended(hashes, first, last).view(np.int64)
-                same = pa.array(np.full(len(first), k))
-                yield pa.RecordBatch.from_arrays([b.column("doc").take(same), b.column("digest").take(same), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(whole[:, 0]), pa.array(whole[:, 1])], ["doc", "digest", "first", "last", "x", "y"])
-
-    spans = staged(candidates.mapInArrow(matches, "doc long, digest long, first int, last int, x long, y long"), "windows")
+                which.append(np.full(len(first), k))
+                for o, x in zip(out, (first, last, extended(hashes, first, last)), strict=True):
+                    o.append(x)
+            if which:
+                take = pa.array(np.concatenate(which))
+                first, last, whole = (np.concatenate(o) for o in out)
+                new = [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), *[pa.array(whole[:, j].copy().view(np.int64)) for j in (0, 1)]]
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(take), b.column("digest").take(take), *new], ["doc", "digest", "first", "last", "x", "y"])
+
+    spans = staged(candidates.mapInArrow(lean(matches), "doc long, digest long, first int, last int, x long, y long"), "windows")
     discard(lines, shared)
     place = F.struct("doc", "first")
     origin = spans.groupBy("x", "y").agg(F.min(place).alias("origin"), F.max(place).alias("latest"), F.count("*").alias("n")).where("origin < latest").select("x", "y", "n", "origin")
-    later = join_hot(spans, staged(origin, "origins"), ["x", "y"]).where(place > F.col("origin"))
+    later = join_hot(spans, staged(origin, "origins", spans.count() // 2), ["x", "y"]).where(place > F.col("origin"))
     return later.groupBy("doc", "digest").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts"))
 
 
@@ -166,7 +173,7 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
                 arrays = [pa.array(texts, b.schema.field(text).type) if c == text else b.column(c).slice(lo, hi - lo) for c in names]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], [*names, "__lines", "__removed", "__removed_words"])
 
-    return joined.mapInArrow(emit, schema)
+    return joined.mapInArrow(lean(emit), schema)
 
 
 def oracle(min_words: int = 50) -> str:

@@ -39,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, flat_utf8, join_hot, mix, slices, staged, word_hashes
+from .common import discard, flat_utf8, join_hot, lean, mix, slices, staged, word_hashes
 
 N, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
 #: A block has about so many texts at most, and so many n-grams in all.
 BLOCK, BLOCK_GRAMS = 512, 600_000
+WORDS_A_FILE = 2_000_000
 _U = np.uint64
 _ODD = np.random.default_rng(20260202).integers(1, 2**63, 16 * N, dtype=np.uint64) | _U(1)
 _SCALE = np.random.default_rng(20260203).integers(1, 2**32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][some]), pa.array(digest[lo:hi][some]), pa.array(same, pa.binary()), bands, pa.array(np.diff(ends)[some])], ["doc", "digest", "same", "bands", "grams"])
 
-    return docs.mapInArrow(emit, "doc long, digest long, same binary, bands array<long>, grams long")
+    return docs.mapInArrow(lean(emit), "doc long, digest long, same binary, bands array<long>, grams long")
 
 
 def components(ties: DataFrame, name: str) -> DataFrame:
@@ -113,15 +114,16 @@ def components(ties: DataFrame, name: str) -> DataFrame:
     Large-star and small-star rounds until the ties stay as they are.
     """
     edges, before = staged(ties.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name), None
+    most = edges.count()  # no round makes more ties than these
     for _ in itertools.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m")), name)
-        large = staged(join_hot(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m")), name, 2 * most)
+        large = staged(join_hot(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name, most)
         discard(edges, least)
         # A node's smaller neighbours are few here: it is never the centre of its star.
         small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         edges = large.join(small, large["a"] == small["u"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = staged(edges.where("a <> b").distinct(), name)
+        edges = staged(edges.where("a <> b").distinct(), name, most)
         discard(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -198,24 +200,25 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least id of the linked group), copy_of (least id of equal word sequence), n_links of each id."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    sketches = sketch(rows.where("text is not null"))
-    one = staged(sketches.groupBy("doc").agg(F.min(F.struct("same", "digest", "bands", "grams")).alias("s")).select("doc", "s.same", "s.digest", "s.bands", "s.grams"), "sketch")
-    classes = staged(one.groupBy("same").agg(F.min(F.struct("doc", "digest", "bands", "grams")).alias("r"), F.count("*").alias("copies")).select("same", F.col("r.doc").alias("rep"), "r.digest", "r.bands", "r.grams", "copies"), "classes")
+    sketches, most = sketch(rows.where("text is not null")), rows.count()
+    one = staged(sketches.groupBy("doc").agg(F.min(F.struct("same", "digest", "bands", "grams")).alias("s")).select("doc", "s.same", "s.digest", "s.bands", "s.grams"), "sketch", most)
+    classes = staged(one.groupBy("same").agg(F.min(F.struct("doc", "digest", "bands", "grams")).alias("r"), F.count("*").alias("copies")).select("same", F.col("r.doc").alias("rep"), "r.digest", "r.bands", "r.grams", "copies"), "classes", most)
 
     hashed = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    least = staged(hashed.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    least = staged(hashed.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets", most * BANDS // 2)
     ties = join_hot(hashed, least, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     found = components(ties, "ties")
-    found = staged(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "components")
+    found = staged(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "components", 2 * found.count())
     discard(least)
 
     # A component of at most BLOCK texts is one cell, several small ones share none; larger ones are cut into blocks.
     placed = found.join(classes.select(F.col("rep").alias("node"), "digest", "copies", "grams"), "node")
     sizes = placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = join_hot(placed, staged(sizes, "sizes"), ["root"])
+    placed = join_hot(placed, staged(sizes, "sizes", most), ["root"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = rows.where("text is not null").join(placed.select(F.col("node").alias("doc"), "digest", "copies", "root", "block", "blocks"), ["doc", "digest"])
-    texts = staged(texts.groupBy("doc", "digest", "copies", "root", "block", "blocks").agg(F.min("text").alias("text")), "members")  # a row a document, though its row may be repeated
+    words = placed.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    texts = staged(texts.groupBy("doc", "digest", "copies", "root", "block", "blocks").agg(F.min("text").alias("text")), "members", files=-(-int(words) // WORDS_A_FILE))  # a row a document, though its row may be repeated
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.struct("root", F.least("block", other).alias("a"), F.greatest("block", other).alias("b")).alias("cell"), F.when(F.col("block") <= other, 0).otherwise(1).alias("side")))
     members = texts.select("doc", "copies", "text", F.explode(cells).alias("c")).select("doc", "copies", "text", "c.cell", "c.side")
     links = staged(verify(members, threshold), "links")
@@ -225,7 +228,7 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thre
     count = links.groupBy("doc").agg(F.sum("links").alias("links"))
     reps = classes.select("same", "rep", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(count.withColumnRenamed("doc", "rep"), "rep", "left")
     reps = reps.select("same", "rep", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
-    out = join_hot(one.select("doc", "same"), staged(reps, "groups"), ["same"]).select("doc", "rep", "class", "n_links")
+    out = join_hot(one.select("doc", "same"), staged(reps, "groups", most), ["same"]).select("doc", "rep", "class", "n_links")
     alone = F.col("doc_id")
     ids = rows.select(F.col("doc").alias("doc_id")).distinct().join(out, F.col("doc_id") == F.col("doc"), "left")
     return ids.select("doc_id", F.coalesce("class", alone).alias("class_id"), F.coalesce("rep", alone).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lean
+
 K, SCALE, BLOCK, QUERY_BLOCK = 5, 256, 16_384, 512
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -128,9 +130,11 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = K, block: int = BLO
     """query_id, rank, vec_id, score from rows (id, v) and (id, v) of whole numbers."""
     n, m = index.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-    gather = lambda df, parts, name: df.groupBy(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias(name)).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(f"{name}_rows"))
-    rows = gather(index, blocks, "block").withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    pairs = rows.join(gather(queries, query_blocks, "query"), ["dims", "query"])
+    gather = lambda df, parts, name, *more: df.groupBy(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v", *more), F.lit(parts)).cast("int").alias(name)).agg(F.sort_array(F.collect_list(F.struct("id", "v", *more))).alias(f"{name}_rows"))
+    index = index.withColumn("at", F.monotonically_increasing_id())  # equal rows go to different blocks
+    queries = queries.withColumn("copy", F.monotonically_increasing_id())  # a repeated query is answered for each row
+    rows = gather(index, blocks, "block", "at").withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    pairs = rows.join(gather(queries, query_blocks, "query", "copy"), ["dims", "query"])
     pairs = pairs.repartition(max(1, min(blocks * query_blocks, 4 * index.sparkSession.sparkContext.defaultParallelism)), "block", "query")
 
     def emit(batches):
@@ -143,19 +147,20 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = K, block: int = BLO
                     raise OverflowError("a component needs more than 52 bits")
                 made = Slices(vectors)
                 q_ids, q_vectors = asked.field("id").to_numpy(), asked.field("v").flatten().to_numpy().reshape(-1, dims)
-                out = [[], [], []]
-                for q, vector in zip(q_ids.tolist(), q_vectors.tolist(), strict=True):
+                out = [[], [], [], []]
+                for q, copy, vector in zip(q_ids.tolist(), asked.field("copy").to_pylist(), q_vectors.tolist(), strict=True):
                     own = np.arange(np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right"))
                     best, score = made.top(vector, k, own)
                     if any(abs(s) >= 2**63 for s in score):
                         raise OverflowError("a score needs more than 63 bits")
                     out[0] += [q] * len(best)
-                    out[1] += ids[best].tolist()
-                    out[2] += score.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+                    out[1] += [copy] * len(best)
+                    out[2] += ids[best].tolist()
+                    out[3] += score.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "copy", "vec_id", "score"])
 
-    best = pairs.select("dims", "block", "query", "block_rows", "query_rows").mapInArrow(emit, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = pairs.select("dims", "block", "query", "block_rows", "query_rows").mapInArrow(lean(emit), "query_id long, copy long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -11,8 +11,11 @@ The model is fitted on a bounded sample of labelled rows (``max_train_docs``,
 
 Defined results: a null or empty text has no features and gets the bias alone;
 labels without id or value are
-not learned from, and an id with several labels has the largest; with no labelled rows, or labels of one class, every score is the share
-of label 1 (0 without labels).  Repeated rows are scored each.
+not learned from, any above 0 counts as 1, and an id with several labels has the largest; with no labelled rows, or labels of one class, every score is the share
+of label 1 (0 without labels).  Repeated rows and rows of null id are scored each; a very long text is
+scored piece by piece to its end, and learned from if it is no longer than the
+whole sample may be; an empty table gives an empty result.  Only the named
+columns and those of ``keep`` are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_utf8, mix, slices, word_hashes
+from .common import flat_utf8, lean, mix, slices, word_hashes
 
 _U = np.uint64
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 1.0, 5
@@ -96,10 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str, label: str, key: str
 
     The sample of (key, label) is drawn first, so the table that meets the texts has a bounded number of rows.
     """
-    few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     draw = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1_000_000))
     few = few.where(draw < int(1_000_000 * min(1.0, max_train_docs / max(few.count(), 1))))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(few), "k").where(F.length("t") <= max_train_words)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(few), "k").where(F.length("t") <= 6 * max_train_words)
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     rows = rows.where(F.pmod(F.xxhash64("k", F.lit(12)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_words * 6 / max(chars, 1))))
 
@@ -111,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str, label: str, key: str
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(weights, bias))], ["k", "w"])
 
     # The sample is bounded, so one task holds it; only weights that are not 0 come back.
-    got = rows.repartition(1).mapInArrow(emit, "k long, w double").toArrow()
+    got = rows.repartition(1).mapInArrow(lean(emit), "k long, w double").toArrow()
     k, w = got.column("k").to_numpy(), got.column("w").to_numpy()
     if not len(k):
         return np.zeros(0, np.int64), np.zeros(0), -40.0
@@ -145,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text:
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(p)], [*names, "score"])
 
-    return rows.mapInArrow(emit, out)
+    return rows.mapInArrow(lean(emit), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", keep: dict[str, Column] | None = None, max_train_docs: int = 16_000, max_train_words: int = 6_000_000) -> DataFrame:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import lean, parts
 
 COMMON = 200_000
 #: Bytes of text that are counted at a time.
-PART = 16_000_000
+PART = 8_000_000
 
 
 def counted(docs: DataFrame, split: Callable[[pa.Array], tuple], *, also: str | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def counted(docs: DataFrame, split: Callable[[pa.Array], tuple], *, also: str |
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(n[some]), pa.array(own[some])], ["word", "n", "n_own"])
 
-    partial = docs.select(*["text", also] if also else ["text"]).mapInArrow(emit, "word string, n long, n_own long")
+    partial = docs.select(*["text", also] if also else ["text"]).mapInArrow(lean(emit), "word string, n long, n_own long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_own").alias("n_own"))
 
 
