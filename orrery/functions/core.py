@@ -225,6 +225,11 @@ def pix2ang_ring(nside: int, pixel: Column) -> tuple[Column, Column]:
 SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def _let(x: Column, then) -> Column:
+    """``then`` of x, with x evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def _times64(x: Column, by: int) -> Column:
     """Product modulo 2**64 of a long (as bits) and a constant: four products of 32 bits, none of which overflows a decimal."""
     low, high = x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)
@@ -238,7 +243,7 @@ def _times64(x: Column, by: int) -> Column:
 
 def signed64(x: Column) -> Column:
     """A whole number below 2**64 as the long of the same bits."""
-    return F.when(x >= F.lit(str(1 << 63)).cast("decimal(38,0)"), x - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(x).cast("long")
+    return _let(x, lambda v: F.when(v >= F.lit(str(1 << 63)).cast("decimal(38,0)"), v - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(v).cast("long"))
 
 
 def unsigned64(x: Column) -> Column:
@@ -252,8 +257,9 @@ def splitmix64(seed: int, index: Column) -> Column:
     plus = F.lit(str((seed + SPLITMIX[0]) % (1 << 64))).cast("decimal(20,0)")
     x = signed64(F.pmod(unsigned64(index) + plus, F.lit(str(1 << 64)).cast("decimal(38,0)")))
     for shift, by in ((30, SPLITMIX[1]), (27, SPLITMIX[2])):
-        x = _times64(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), by)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+        mixed = _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift)))
+        x = _let(mixed, lambda v: _times64(v, by))
+    return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
 #: What a simulator's log says if the survey did not look there.
