@@ -60,13 +60,20 @@ def prefix_galleries(sequence: DataFrame, sizes: list[int], *, by: list[str], or
 
 
 def block_sample(df: DataFrame, row: str, block: int, n: int, seed: str) -> DataFrame:
-    """Whole blocks of consecutive rows in hash order until n rows are reached; the last block is cut."""
+    """Whole blocks of consecutive rows in hash order until n rows are reached; the last block is cut.
+
+    Blocks are first counted by the leading bits of their hash; only those of the leading part that reaches n are put in order.
+    """
     b = F.floor(F.col(row) / block)
     sizes = df.groupBy(b.alias("__b")).agg(F.count("*").alias("__size")).withColumn("__h", C.hash32(C.key_of(seed, F.col("__b"))))
-    before = Window.orderBy("__h", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).where(F.col("__before") < n)  # one row a block
+    part = F.floor(F.col("__h") / (1 << 20))
+    parts = sizes.groupBy(part.alias("__part")).agg(F.sum("__size").alias("__rows"))  # 4,096 rows at most
+    upto = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    led = parts.withColumn("__led", F.coalesce(upto, F.lit(0))).where(F.col("__led") < n)
+    order = Window.partitionBy("__part").orderBy("__h", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sizes.withColumn("__part", part).join(F.broadcast(led), "__part").withColumn("__before", F.col("__led") + F.coalesce(F.sum("__size").over(order), F.lit(0))).where(F.col("__before") < n)
     r = df.withColumn("__b", b).join(chosen, "__b").withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy(row)))
-    return r.where(F.col("__before") + F.col("__k") <= n).drop("__b", "__h", "__size", "__before", "__k")
+    return r.where(F.col("__before") + F.col("__k") <= n).select(*df.columns)
 
 
 def circular_shift(df: DataFrame, shift: int, *, by: list[str], order: list[str], value: str) -> DataFrame:

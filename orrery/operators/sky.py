@@ -30,10 +30,15 @@ def credible_area(cells: DataFrame, level: float) -> DataFrame:
     return c.groupBy("map_id").agg(F.coalesce(F.sum(F.when(F.col("level") <= level, F.col("area"))), F.max_by("area", F.struct("density", -F.col("cell_id")))).alias("area"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each point (point_id, map_id, px, py, pz) with its map's cell of largest dot product, ties to the smaller cell."""
+def nearest_cell(points: DataFrame, cells: DataFrame, blocks: int = 8) -> DataFrame:
+    """Each point (point_id, map_id, px, py, pz) with its map's cell of largest dot product, ties to the smaller cell.
+
+    A map's points are dealt to blocks and its cells copied to each, so that one large map is many tasks.
+    """
     dot = F.round(F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z"), 12)
-    j = points.join(cells, "map_id").select("point_id", "map_id", "cell_id", dot.alias("dot"))
+    p = points.withColumn("__block", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
+    c = cells.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    j = p.join(c, ["map_id", "__block"]).select("point_id", "map_id", "cell_id", dot.alias("dot"))
     return j.groupBy("point_id", "map_id").agg(F.max(F.struct("dot", (-F.col("cell_id")).alias("c"))).alias("b")).select("point_id", "map_id", (-F.col("b.c")).alias("cell_id"))
 
 

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import core as C
+from ..operators import intervals as I
 from ..operators import posterior as P
 from ..operators import ranking as R
+from ..operators import vectors as V
 from .tables import load
 
 
@@ -41,15 +43,16 @@ def weighted_gaussian(spark, d):
 def bhattacharyya(spark, d):
     p = load(spark, d, "part").select("p_brand", (F.col("p_size") + 1.0).alias("w"), F.log10("p_retailprice").alias("a"), (F.col("p_size") / 10.0).alias("b"))
     m = P.weighted_moments(p, by=["p_brand"], weight="w", columns=["a", "b"], floor=0.05)
-    one = lambda s: m.select(F.col("p_brand").alias(f"brand_{s}"), F.array("m_a", "m_b").alias(f"mean_{s}"), F.array("c_a_a", "c_a_b", "c_a_b", "c_b_b").alias(f"cov_{s}"), F.lit(1).alias("one"))
-    pairs = one("a").join(one("b"), "one").where("brand_a < brand_b").withColumn("pair", F.concat_ws("|", "brand_a", "brand_b"))  # a row a brand
+    one = lambda s: m.select(F.col("p_brand").alias(f"brand_{s}"), F.array("m_a", "m_b").alias(f"mean_{s}"), F.array("c_a_a", "c_a_b", "c_a_b", "c_b_b").alias(f"cov_{s}"))
+    pairs = V.against_all(one("a"), one("b"), query="brand_a", row="brand_b").where("brand_a < brand_b").withColumn("pair", F.concat_ws("|", "brand_a", "brand_b"))
     return P.bhattacharyya(pairs, "pair", 2).select("pair", F.round("score", 5).alias("score"))
 
 
 def greedy(spark, d):
     p = load(spark, d, "part").select("p_type", "p_partkey", "p_size", "p_retailprice")
     q = p.select("p_type", F.col("p_partkey").alias("j"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    e = p.join(q, "p_type").where((F.col("p_partkey") < F.col("j")) & (F.abs(F.col("p_size") - F.col("size")) <= 1) & (F.abs(F.col("p_retailprice") - F.col("price")) < 5))
+    e = I.interval_join(p, q, lo=F.col("p_retailprice") - 5, hi=F.col("p_retailprice") + 5, at=F.col("price"), width=10, on=["p_type"])  # pairs within the caliper only
+    e = e.where((F.col("p_partkey") < F.col("j")) & (F.abs(F.col("p_size") - F.col("size")) <= 1) & (F.abs(F.col("p_retailprice") - F.col("price")) < 5))
     e = e.select("p_type", F.col("p_partkey").alias("i"), "j", F.round(F.abs(F.col("p_retailprice") - F.col("price")), 4).alias("cost"))
     return P.greedy_disjoint(e, by=["p_type"], most=5)
 
