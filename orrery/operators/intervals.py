@@ -58,7 +58,7 @@ def nearest(left: DataFrame, right: DataFrame, *, group: list[str], distance: Co
     names = left.columns
     l = left.withColumn("__block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"))  # noqa: E741
     r = right.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    joined = l.join(r, [*group, "__block"], "left").withColumn("__d", distance)
+    joined = l.join(r, [*group, "__block"]).withColumn("__d", distance).where("__d is not null")  # a null distance: not a candidate
     best = joined.groupBy(*names).agg(F.min(F.struct("__d", *order, *[c for c in keep if c not in order])).alias("b"))
     return best.select(*names, F.col("b.__d").alias("distance"), *[F.col(f"b.{c}").alias(c) for c in dict.fromkeys([*order, *keep])])
 

@@ -1,39 +1,21 @@
-"""Further queries whose text both engines understand: the Spark SQL form runs, the same text is the oracle.
-
-Table names stand in braces; ``percentile`` is ``quantile_cont`` in DuckDB.
-"""
+"""Filters, summaries, distances and selections on the star tables: operators here, their definition in SQL beside them."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import core as C
+from ..operators import filters as X
+from ..operators import galleries as G
 from ..operators import intervals as I
 from ..operators import posterior as P
 from ..operators import ranking as R
+from ..operators import summaries as U
 from ..operators import vectors as V
 from .tables import load
 
 
-def both(text: str, *, spark: dict[str, str] | None = None, duck: dict[str, str] | None = None) -> tuple[Callable, str]:
-    """(callable, SQL) of one text; ``spark`` and ``duck`` give words to replace in either."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    mine, theirs = text, text.replace("{", "").replace("}", "")
-    for k, v in (spark or {}).items():
-        mine = mine.replace(k, v)
-    for k, v in ({"percentile(": "quantile_cont("} | (duck or {})).items():
-        theirs = theirs.replace(k, v)
-
-    def run(session, d):
-        return session.sql(mine, **{n: load(session, d, n) for n in names})
-
-    return run, theirs
-
-
-
 def weighted_gaussian(spark, d):
     p = load(spark, d, "part").select("p_brand", (F.col("p_size") + 1.0).alias("w"), F.log10("p_retailprice").alias("a"), (F.col("p_size") / 10.0).alias("b"))
     out = P.weighted_moments(p, by=["p_brand"], weight="w", columns=["a", "b"], floor=0.05)
@@ -79,8 +61,285 @@ def dense_remap(spark, d):
     return r.select("o_orderkey", F.col("position").cast("int").alias("idx"))
 
 
-DT = "(o_totalprice - 150000.0) / 10000.0"
-SCORE = "cast(event_id * 7919 % 1000 as double) / 1000.0"
+def orders(spark, d):
+    return load(spark, d, "orders").withColumn("dt", (F.col("o_totalprice") - 150000.0) / 10000.0)
+
+
+def calibration(spark, d):
+    p = load(spark, d, "part").select("p_partkey", (F.col("p_size") / 40.0 + 0.5).alias("s"), (22 + F.col("p_partkey") % 30 / 10.0).alias("m5"), (19 + F.col("p_partkey") % 17 / 10.0).alias("sky"))
+    return p.select("p_partkey", *[F.round(c, 6).alias(n) for n, c in X.calibration(F.col("s"), F.col("m5"), F.col("sky")).items()])
+
+
+def time_shift(spark, d):
+    return orders(spark, d).select("o_orderkey", F.round(X.shifted(F.col("dt"), 0.25 * (F.col("o_custkey") % 4), F.abs("dt") < 20), 6).alias("t"))
+
+
+def reanchor(spark, d):
+    o = load(spark, d, "orders").withColumn("own", F.col("o_totalprice") / 2)
+    parents = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("to"))
+    return X.reanchored(o, parents, key="o_custkey", time="o_totalprice", own="own", other="to").select("o_orderkey", F.round(F.col("t") + 0.00001, 2).alias("t"))
+
+
+def prefix_exclude(spark, d):
+    return X.without_prefix(load(spark, d, "part"), "p_name", "RED").select("p_partkey", "p_name")
+
+
+def sentinel(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", X.no_sentinel(F.col("o_totalprice") - 1000, high=300000.0).alias("v"))
+    return o.where("v is not null")
+
+
+def broken(spark, d):
+    li = load(spark, d, "lineitem")
+    bad = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).when(F.col("l_tax") == 0, F.lit(float("inf"))).when(F.col("l_quantity") != 7, F.col("l_discount"))
+    return li.select("l_orderkey", "l_linenumber", bad.alias("x"), "l_tax")
+
+
+def finite_count(spark, d):
+    return X.finite_rows(broken(spark, d), ["x", "l_tax"])[1]
+
+
+def finite_kept(spark, d):
+    return X.finite_rows(broken(spark, d), ["x", "l_tax"])[0].groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"))
+
+
+def photometry_cleanup(spark, d):
+    return X.clean_photometry(load(spark, d, "events"), object_="user_id", key=["user_id", "event_type", "value"], value="value", low=1.0, high=90.0, kind="event_type", mocks=["error"], least=40)
+
+
+def time_bias(spark, d):
+    return orders(spark, d).select("o_orderkey", F.round(X.time_bias(F.col("dt"), weight=0.5, scale=3.0, power=1.5, most=4.0), 6).alias("bias"))
+
+
+def softmax(spark, d):
+    return load(spark, d, "events").select("user_id", "event_id", F.round(X.softmax(F.col("value") / 10, ["user_id"]), 8).alias("p"))
+
+
+def buckets(spark, d):
+    return load(spark, d, "part").select("p_partkey", X.bucket(F.col("p_size"), [2, 3, 4, 6]).alias("det"), X.bucket(F.col("p_retailprice"), [1000.0, 1100.0, 1200.0, 1500.0]).alias("span"))
+
+
+def mixed_slots(spark, d):
+    n = F.col("p_size") + 2
+    p = load(spark, d, "part").where("p_size >= 2").select("p_partkey", "p_size", G.allocation(n, 0.3).alias("n_kn"))
+    return p.select("p_partkey", "n_kn", (F.col("p_size") + 1 - F.col("n_kn")).alias("n_other"))
+
+
+def directional_win(spark, d):
+    w = X.directional(F.col("l_discount") - F.col("l_tax"), F.col("l_discount") - 0.05)
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.round(w["interaction"], 6) + 0.0).alias("interaction"), w["wins"].alias("wins"))
+
+
+def magnitudes(spark, d):
+    jd = F.when(F.col("p_partkey") % 2 == 0, 2460000.5 + F.col("p_partkey")).otherwise(60000.0 + F.col("p_partkey"))
+    return load(spark, d, "part").select("p_partkey", F.round(X.flux_of(20 + F.col("p_size") / 10.0), 6).alias("fluxcal"), X.as_mjd(jd).alias("mjd"))
+
+
+def moments(spark, d):
+    li = load(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") == 6, F.lit(float("nan"))).when(F.col("l_linenumber") < 6, F.col("l_quantity").cast("double")).alias("q"))
+    return U.moments(li, "q", by=["l_returnflag"]).select("l_returnflag", "n", "nonfinite", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def latency(spark, d):
+    r = U.latency(load(spark, d, "events"), "value", by=["event_type"])
+    return r.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p90", "p95", "throughput")], "lo", "hi")
+
+
+def shortcut_medians(spark, d):
+    e = load(spark, d, "events").select((F.col("event_id") % 3 == 0).cast("int").alias("label"), "value", (F.col("event_id") % 100).alias("k"))
+    return U.medians(e, ["value", "k"], by=["label"]).select("label", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"), "n")
+
+
+def worst_source(spark, d):
+    r = U.source_score(load(spark, d, "orders"), "o_totalprice", source="o_orderpriority", macro=0.7, gates={"1-URGENT": 100000.0, "5-LOW": 1e9})
+    return r.select(F.round("macro", 6).alias("macro"), F.round("worst", 4).alias("worst"), "worst_source", F.round("score", 4).alias("score"), "passed")
+
+
+def selection_score(spark, d):
+    return U.weighted_score(load(spark, d, "orders"), "o_totalprice", group="o_orderstatus", weights={"F": 0.5, "O": 0.3, "P": 0.2}).select(F.round("score", 6).alias("score"))
+
+
+def positives_per_event(spark, d):
+    r = U.rows_a_group(load(spark, d, "orders"), ["o_custkey"])
+    return r.select(F.round("median", 4).alias("median"), "lo", "hi", F.round("mean", 6).alias("mean"))
+
+
+def confusion_rows(spark, d):
+    r = U.shares(load(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+    return r.select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"), "n", F.round("share", 6).alias("share"))
+
+
+def density(spark, d):
+    e = load(spark, d, "events").select((F.col("event_id") % 2).alias("label"), (F.col("event_id") * 7919 % 1000 / F.lit(1000.0)).alias("p"))
+    return U.logit_density(e, "p", by=["label"], width=0.5)
+
+
+def night_coverage(spark, d):
+    o = load(spark, d, "orders").select((F.col("o_custkey") % 7).alias("night"), (F.col("o_custkey") % 50).alias("tile"))
+    w = load(spark, d, "part").where("p_partkey between 1 and 50").select((F.col("p_partkey") - 1).alias("tile"), "p_size")
+    return U.distinct_sum(o, by=["night"], item="tile", weights=w, weight="p_size").select("night", F.col("items").alias("tiles"), F.col("total").alias("p"))
+
+
+def weighted_bincount(spark, d):
+    return U.bin_weights(load(spark, d, "supplier"), "s_nationkey", "s_acctbal").select(F.col("s_nationkey").alias("tile"), F.round("total", 4).alias("p"), "n")
+
+
+def mixed_outcome(spark, d):
+    e = load(spark, d, "events")
+    first = F.min("event_id").over(Window.partitionBy("user_id"))
+    e = e.select(F.col("user_id").alias("g"), "event_id", F.col("value").alias("s"), (F.col("event_id") == first).alias("pos"), (F.col("event_type") == "view").alias("kn"))
+    r = U.mixed_outcome(e, by=["g"], score="s", positive="pos", kin="kn", key="event_id")
+    return r.withColumn("margin", F.round("margin", 6))
+
+
+def out_of_window(spark, d):
+    o = orders(spark, d).withColumn("t", X.in_window_or(F.col("dt"), 5.0, 0.1 * (F.col("o_orderkey") % 50)))
+    inside = F.abs("dt") <= 5
+    return o.agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.count_if(~inside).alias("replaced"), F.round(F.avg("t"), 6).alias("mean"))
+
+
+def batch_mean(spark, d):
+    r = U.mean_of_batches(load(spark, d, "events"), "value", batch=F.floor(F.col("event_id") / 64))
+    return r.select(F.round("batch_mean", 6).alias("batch_mean"), "batches")
+
+
+def endpoint_table(spark, d):
+    li = load(spark, d, "lineitem").withColumn("v", F.col("l_discount") - F.col("l_tax"))
+    r = U.endpoints(li, "v", scopes=[["l_returnflag", "l_linestatus"], ["l_returnflag"], []], names=["l_returnflag", "l_linestatus"])
+    return r.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "n", F.round("mean", 8).alias("mean"), F.round("positive", 6).alias("positive"), F.round("t", 4).alias("t"), F.round("p_holm", 5).alias("p_holm"))
+
+
+def width_bucket(spark, d):
+    return U.histogram_between(load(spark, d, "orders"), "o_totalprice", 150, low=0.001, high=0.999).withColumnRenamed("bin", "b")
+
+
+def standardise(spark, d):
+    return load(spark, d, "events").select("event_id", F.round(X.standardised(F.col("value"), ["user_id"]), 6).alias("z"))
+
+
+def harmonic(spark, d):
+    return U.harmonic(load(spark, d, "part").select((F.col("p_size") + 1).alias("n")), "n").select("n", F.round("h", 9).alias("h"))
+
+
+def stable_rank(spark, d):
+    e = load(spark, d, "events")
+    w = Window.partitionBy("user_id")
+    e = e.withColumn("r", F.row_number().over(w.orderBy(F.floor(F.col("value") / 10).desc(), "event_id")))
+    return X.first_ranked(e, 1, by=["user_id"], order=["event_id"]).select("user_id", "r")
+
+
+def pair_mask(spark, d):
+    return X.of_large_groups(load(spark, d, "orders"), ["o_custkey"], 12).select("o_orderkey", "o_custkey")
+
+
+def checkpoint_delta(spark, d):
+    s = load(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("step")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    return U.kept_checkpoints(s, step="step", value="v", least=50.0)
+
+
+def forced_positive(spark, d):
+    forced = (F.col("event_type") == "purchase") & (F.col("value") > 95)
+    return X.first_ranked(load(spark, d, "events"), 6, by=["user_id"], order=[(~forced).cast("int"), F.desc("value"), "event_id"]).select("user_id", "event_id", "slot")
+
+
+def exhaustive_galleries(spark, d):
+    o = X.first_ranked(load(spark, d, "orders"), 3, by=["o_custkey"], order=["o_orderkey"], name="ordinal")
+    trial = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    return o.withColumn("trial", trial).where(F.floor(F.col("trial") / 2) == F.col("ordinal") - 1).select("o_custkey", "trial", "o_orderkey")
+
+
+def composite_minimum(spark, d):
+    g = load(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("m"), F.avg((F.col("o_totalprice") > 150000).cast("double")).alias("c"))
+    return X.first_ranked(g, 1, by=["o_orderstatus"], order=[(~F.col("c").between(0.4, 0.6)).cast("int"), "m", "o_orderpriority"]).select("o_orderstatus", "o_orderpriority", "m")
+
+
+def unique_parent_topk(spark, d):
+    g = load(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_extendedprice").alias("v"))
+    return X.first_ranked(g, 3, by=["l_suppkey"], order=[F.desc("v"), "l_partkey"]).select("l_suppkey", "l_partkey", "v")
+
+
+def band_argmax(spark, d):
+    e = load(spark, d, "events")
+    return X.best_in_band(e, e, by=["user_id"], value="value", low=20.0, high=20.2)
+
+
+def shortlist_rescore(spark, d):
+    """Ten largest parts of a brand, of these three nearest a price, one a type; others fill up."""
+    return X.shortlisted(load(spark, d, "part"), by=["p_brand"], first=[F.desc("p_size"), "p_partkey"], most=10, then=[F.abs(F.col("p_retailprice") - 1200), "p_partkey"], k=3, parent="p_type").select("p_brand", "p_partkey")
+
+
+def time_mixture(spark, d):
+    w = Window.partitionBy("user_id")
+    r = F.row_number().over(w.orderBy(F.col("event_id") * 7919 % 10007, "event_id"))
+    mode = F.when(r <= F.round(F.count("*").over(w) * 0.25), "empirical").otherwise("uniform")
+    return load(spark, d, "events").select("user_id", "event_id", mode.alias("mode"))
+
+
+def nearest_bin(spark, d):
+    wanted, filled = load(spark, d, "part").select(F.col("p_size").alias("q")), load(spark, d, "supplier").select((F.col("s_nationkey") * 2).alias("q"))
+    return X.nearest_bin(wanted, filled, bin_="q")
+
+
+def source_balanced(spark, d):
+    return X.first_ranked(load(spark, d, "supplier"), 2, by=["s_nationkey"], order=[F.col("s_suppkey") * 7919 % 1009, "s_suppkey"]).select("s_nationkey", "s_suppkey")
+
+
+def candidate_dt(spark, d):
+    mode = F.element_at(F.array(F.lit("native"), F.lit("zero"), F.lit("positive_shared")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    q = F.col("l_quantity").cast("double")
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.candidate_times(mode, q, F.max(q).over(Window.partitionBy("l_orderkey"))).alias("dt"))
+
+
+def triplets(spark, d):
+    """Four kinds of pair under one another, each with its label and the softmax of its user's scores."""
+    e = load(spark, d, "events").withColumn("p", X.softmax(F.col("value") / 10, ["user_id"]))
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    u = X.labelled_union({"true": (of("view"), 1), "mismatch": (of("click"), 0), "foreign": (of("error"), 0), "early": (of("signup"), 0)})
+    return u.groupBy("kind", "label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 8).alias("p"))
+
+
+def metric_delta(spark, d):
+    r = U.deltas(load(spark, d, "orders"), "o_totalprice", by=["o_orderpriority"], model="o_orderstatus", new="F", base="O")
+    return r.select(F.col("o_orderpriority").alias("scope"), F.round("delta", 4).alias("delta"))
+
+
+def event_lattice(spark, d):
+    rows = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return U.lattice(load(spark, d, "customer"), rows, key="c_custkey", least=5, failed=F.col("c_acctbal") < 0)
+
+
+def coverage(spark, d):
+    li = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("s"), (F.col("l_suppkey") % 25).alias("c"))
+    return U.panel_coverage(li, scenario="s", coordinate="c")
+
+
+def paired_outcomes(spark, d):
+    return X.paired(load(spark, d, "orders"), key=["o_custkey"], of="o_orderstatus", values=["F", "O", "P"])
+
+
+def probability_range(spark, d):
+    from ..operators import contracts as V_
+
+    p = load(spark, d, "lineitem").select((F.col("l_discount") * 10.5).alias("p"))
+    return V_.counted(p, {"probability": C.finite(F.col("p")) & F.col("p").between(0, 1)})
+
+
+def missing_reference(spark, d):
+    known = load(spark, d, "part").where("p_size < 45").select(F.col("p_partkey").alias("l_partkey"))
+    return U.unreferenced(load(spark, d, "lineitem"), known, key="l_partkey")
+
+
+def bounds(spark, d):
+    return load(spark, d, "lineitem").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+
+
+def first_user_turn(spark, d):
+    """The first turn that a user takes in each conversation, and how many turns there are."""
+    g = load(spark, d, "conversations").groupBy("conv_id")
+    return g.agg(F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("turn"), F.count("*").alias("turns"))
+
+
+DT = "(o_totalprice - 150000.0::double) / 10000"
 
 QUERIES = {
     "phot_luptitude": (
@@ -101,67 +360,85 @@ QUERIES = {
         select pair, round(-greatest(0, (da * da * sbb - 2 * da * db * sab + db * db * saa) / (saa * sbb - sab * sab) / 8 + ln((saa * sbb - sab * sab) / sqrt(dl * dr)) / 2), 5) as score from x""",
     ),
     "srt_greedy_disjoint": (greedy, None),
-    "prj_calibration": both(
-        """select p_partkey, round(s / (2 * sqrt(2 * ln(cast(2.0 as double)))) / 0.2, 6) as psf, round(zpt, 6) as zpt, round(sqrt(pow(cast(10.0 as double), -0.4 * (sky - zpt)) * 0.04), 6) as skysig from (select *, 2 * m5 - sky + 2.5 * log10(25 * area) + 2.5 * log10(1 + pow(cast(10.0 as double), -0.4 * (m5 - sky)) / area) as zpt
-        from (select *, 4 * pi() * pow(s / (2 * sqrt(2 * ln(cast(2.0 as double)))), 2) as area from (select p_partkey, cast(p_size as double) / 40 + 0.5 as s, 22 + cast(p_partkey % 30 as double) / 10 as m5, 19 + cast(p_partkey % 17 as double) / 10 as sky from {part}) a) b) c"""
+    "prj_calibration": (
+        calibration,
+        """with a as (select p_partkey, p_size::double / 40 + 0.5 as s, 22 + (p_partkey % 30)::double / 10 as m5, 19 + (p_partkey % 17)::double / 10 as sky from part), b as (select *, 4 * pi() * pow(s / (2 * sqrt(2 * ln(2))), 2) as area from a), c as (select *, 2 * m5 - sky + 2.5 * log10(25 * area) + 2.5 * log10(1 + pow(10, -0.4 * (m5 - sky)) / area) as zpt from b)
+        select p_partkey, round(s / (2 * sqrt(2 * ln(2))) / 0.2, 6) as psf, round(zpt, 6) as zpt, round(sqrt(pow(10, -0.4 * (sky - zpt)) * 0.04), 6) as skysig from c""",
+    ),
+    "prj_time_shift": (time_shift, f"select o_orderkey, round(case when abs({DT}) < 20 then {DT} + 0.25::double * (o_custkey % 4) else 0 end, 6) as t from orders"),
+    "prj_reanchor": (reanchor, "select a.o_orderkey, round(a.o_totalprice + (b.p - a.o_totalprice / 2) + 0.00001::double, 2) as t from orders a join (select o_custkey, avg(o_totalprice) as p from orders group by 1) b on a.o_custkey = b.o_custkey"),
+    "flt_prefix_exclude": (prefix_exclude, "select p_partkey, p_name from part where not starts_with(lower(coalesce(p_name, '')), 'red')"),
+    "flt_sentinel": (sentinel, "select o_orderkey, o_totalprice - 1000 as v from orders where o_totalprice - 1000 > 0 and o_totalprice - 1000 < 300000"),
+    "flt_finite_count": (finite_count, "select count(*) as n, count(*) filter (l_discount <> 0 and l_tax <> 0 and l_quantity <> 7) as usable, count(*) filter (l_discount = 0 or l_tax = 0 or l_quantity = 7) as dropped from lineitem"),
+    "flt_finite_rows": (finite_kept, "select l_linenumber, count(*) as n, round(sum(l_discount), 4) as x from lineitem where l_discount <> 0 and l_tax <> 0 and l_quantity <> 7 group by 1"),
+    "flt_photometry_cleanup": (photometry_cleanup, "with a as (select distinct user_id, event_type, value from events where value between 1 and 90 and event_type <> 'error') select * from a where user_id in (select user_id from a group by 1 having count(*) >= 40)"),
+    "f_time_bias": (time_bias, f"select o_orderkey, round(greatest(-4, -0.5 * pow(abs({DT}) / 3, 1.5)), 6) as bias from orders"),
+    "f_softmax": (softmax, "with m as (select user_id, event_id, value / 10 as x, max(value / 10) over (partition by user_id) as m from events) select user_id, event_id, round(exp(x - m) / sum(exp(x - m)) over (partition by user_id), 8) as p from m"),
+    "f_buckets": (buckets, "select p_partkey, case when p_size > 6 then 4 when p_size > 4 then 3 when p_size > 3 then 2 when p_size > 2 then 1 else 0 end as det, case when p_retailprice > 1500 then 4 when p_retailprice > 1200 then 3 when p_retailprice > 1100 then 2 when p_retailprice > 1000 then 1 else 0 end as span from part"),
+    "f_mixed_slots": (mixed_slots, "with a as (select p_partkey, p_size, least(greatest(floor((p_size + 1) * 0.3 + 0.5), 1), p_size)::int as n_kn from part where p_size >= 2) select p_partkey, n_kn, p_size + 1 - n_kn as n_other from a"),
+    "f_directional_win": (directional_win, "with a as (select l_orderkey, l_linenumber, l_discount - l_tax as a, l_discount - 0.05::double as b from lineitem) select l_orderkey, l_linenumber, round(0.5::double * (a + b), 6) + 0.0 as interaction, 0.5::double * (case when a > 0 then 1 when a < 0 then 0 else 0.5::double end + case when b > 0 then 1 when b < 0 then 0 else 0.5::double end) as wins from a"),
+    "f_magnitude_to_flux": (magnitudes, "select p_partkey, round(pow(10, -0.4::double * (20 + p_size::double / 10 - 27.5)), 6) as fluxcal, case when p_partkey % 2 = 0 then 2460000.5::double + p_partkey - 2400000.5 else 60000.0::double + p_partkey end as mjd from part"),
+    "agg_moments": (moments, "with x as (select l_returnflag as f, l_linenumber < 6 as ok, l_quantity::double as q from lineitem) select f as l_returnflag, count(*) filter (ok) as n, count(*) filter (not ok) as nonfinite, round(avg(q) filter (ok), 6) as mean, round(stddev_pop(q) filter (ok), 6) as std from x group by 1"),
+    "agg_latency": (latency, "select event_type, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.95), 6) as p95, min(value) as lo, max(value) as hi, round(count(*) / sum(value), 6) as throughput from events group by 1"),
+    "agg_shortcut_medians": (shortcut_medians, "select case when event_id % 3 = 0 then 1 else 0 end as label, round(quantile_cont(value, 0.5), 6) as value, round(quantile_cont(event_id % 100, 0.5), 6) as k, count(*) as n from events group by 1"),
+    "agg_worst_source": (worst_source, "with s as (select o_orderpriority as s, avg(o_totalprice) as m from orders group by 1) select round(avg(m), 6) as macro, round(min(m), 4) as worst, arg_min(s, (m, s)) as worst_source, round(0.7 * avg(m) + 0.3 * min(m), 4) as score, coalesce(min(m) filter (s = '1-URGENT') >= 100000, false) and coalesce(min(m) filter (s = '5-LOW') >= 1e9, false) as passed from s"),
+    "agg_selection_score": (selection_score, "with a as (select case o_orderstatus when 'F' then 0.5 when 'O' then 0.3 else 0.2 end::double as w, avg(o_totalprice) as m from orders group by o_orderstatus) select round(sum(w * m) / sum(w), 6) as score from a"),
+    "agg_positives_per_event": (positives_per_event, "with a as (select count(*) as n from orders group by o_custkey) select round(quantile_cont(n, 0.5), 4) as median, min(n) as lo, max(n) as hi, round(avg(n), 6) as mean from a"),
+    "agg_confusion_rows": (confusion_rows, "with x as (select l_returnflag as a, l_linestatus as b, count(*) as n from lineitem group by all) select a, b, n, round(n / (select sum(n) from x y where y.a = x.a), 6) as share from x"),
+    "agg_density": (density, "with a as (select event_id % 2 as label, least(greatest(event_id * 7919 % 1000 / 1000.0::double, 0.001), 0.999) as p from events) select label, floor(ln(p / (1 - p)) * 2)::int as bin, count(*) as n from a group by all"),
+    "agg_dose_response": (dose_response, "with a as (select l_extendedprice as x, l_discount as y, ntile(5) over (order by l_extendedprice, l_orderkey, l_linenumber)::int as bin from lineitem) select bin, count(*) as n, round(avg(x), 4) as dose, round(avg(y), 6) as response from a group by 1"),
+    "agg_night_coverage": (night_coverage, "select night, count(*) as tiles, sum(p_size)::bigint as p from (select distinct o_custkey % 7 as night, o_custkey % 50 as tile from orders) a join part on tile + 1 = p_partkey group by 1"),
+    "agg_weighted_bincount": (weighted_bincount, "select s_nationkey as tile, round(sum(s_acctbal), 4) as p, count(*) as n from supplier group by 1"),
+    "agg_mixed_outcome": (
+        mixed_outcome,
+        """with a as (select user_id as g, event_id as id, event_id = min(event_id) over (partition by user_id) as pos, event_type = 'view' as kn, value as s from events), p as (select g, s as ps from a where pos)
+        select g, count(*) filter (not pos and s > ps) + 1 as rank_all, count(*) filter (not pos and kn and s > ps) + 1 as rank_kin, count(*) filter (not pos and not kn and s > ps) + 1 as rank_other, round(any_value(ps) - max(s) filter (not pos), 6) as margin, arg_max(case when pos then 'positive' when kn then 'kin' else 'other' end, (s, id)) as top from a join p using (g) group by g""",
+    ),
+    "agg_out_of_window": (out_of_window, f"with a as (select o_orderkey, {DT} as dt from orders) select count(*) as n, count(*) filter (abs(dt) <= 5) as inside, count(*) filter (abs(dt) > 5) as replaced, round(avg(case when abs(dt) <= 5 then dt else 0.1 * (o_orderkey % 50) end), 6) as mean from a"),
+    "agg_batch_mean": (batch_mean, "with a as (select event_id // 64 as b, avg(value) as m from events group by 1) select round(avg(m), 6) as batch_mean, count(*) as batches from a"),
+    "agg_endpoint_table": (
+        endpoint_table,
+        """with x as (select l_returnflag as f, l_linestatus as s, l_discount - l_tax as v from lineitem), e as (select f as flag, s as status, v from x union all select f, 'all', v from x union all select 'all', 'all', v from x),
+        g as (select flag, status, count(*) as n, avg(v) as mean, count(*) filter (v > 0) / count(*) as positive, avg(v) / (stddev_samp(v) / sqrt(count(*))) as t from e group by all), k as (select *, abs(t) / sqrt(2) as z, 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) as k from g),
+        p as (select *, (0.254829592 * k - 0.284496736 * k * k + 1.421413741 * pow(k, 3) - 1.453152027 * pow(k, 4) + 1.061405429 * pow(k, 5)) * exp(-z * z) as p from k), r as (select *, least(1.0, (count(*) over () - row_number() over (order by p, flag, status) + 1) * p) as raw from p)
+        select flag, status, n, round(mean, 8) as mean, round(positive, 6) as positive, round(t, 4) as t, round(max(raw) over (order by p, flag, status rows unbounded preceding), 5) as p_holm from r""",
+    ),
+    "stat_width_bucket": (width_bucket, "with q as (select quantile_cont(o_totalprice, 0.001) as lo, quantile_cont(o_totalprice, 0.999) as hi from orders) select least(149, floor((o_totalprice - lo) / (hi - lo) * 150))::int as b, count(*) as n from orders, q where o_totalprice between lo and hi group by 1"),
+    "win_standardise": (standardise, "with g as (select user_id, avg(value) as m, stddev_pop(value) as s from events group by 1) select event_id, round(case when s > 0 then (value - m) / s else 0 end, 6) as z from events join g using (user_id)"),
+    "win_harmonic": (harmonic, "with n as (select distinct p_size + 1 as n from part) select n, round(list_sum(list_transform(range(1, n + 1), lambda k: 1.0::double / k)), 9) as h from n"),
+    "win_stable_rank": (stable_rank, "with a as (select user_id, event_id, row_number() over (partition by user_id order by floor(value / 10) desc, event_id)::int as r from events) select user_id, r from a where (user_id, event_id) in (select user_id, min(event_id) from events group by 1)"),
+    "win_pair_mask": (pair_mask, "select o_orderkey, o_custkey from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) >= 12)"),
+    "win_dense_remap": (dense_remap, "select o_orderkey, (dense_rank() over (order by o_custkey) - 1)::int as idx from orders"),
+    "win_checkpoint_delta": (checkpoint_delta, "with s as (select o_custkey % 40 as step, round(avg(o_totalprice), 2) as v from orders group by 1) select step, v, coalesce(v > (select max(v) from s b where b.step < a.step) + 50, true) as keep from s a"),
+    "srt_forced_positive": (forced_positive, "with a as (select user_id, event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' and value > 95 then 0 else 1 end, value desc, event_id)::int as slot from events) select * from a where slot <= 6"),
+    "srt_exhaustive_galleries": (exhaustive_galleries, "with a as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as k from orders) select o_custkey, trial::int as trial, o_orderkey from a, range(0, 5) as t(trial) where k = trial // 2"),
+    "srt_composite_minimum": (composite_minimum, "with a as (select o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) as m, count(*) filter (o_totalprice > 150000) / count(*) as c from orders group by all) select o_orderstatus, arg_min(o_orderpriority, (not c between 0.4 and 0.6, m, o_orderpriority)) as o_orderpriority, arg_min(m, (not c between 0.4 and 0.6, m, o_orderpriority)) as m from a group by 1"),
+    "srt_unique_parent_topk": (unique_parent_topk, "with a as (select l_suppkey, l_partkey, max(l_extendedprice) as v from lineitem group by all), b as (select *, row_number() over (partition by l_suppkey order by v desc, l_partkey) as r from a) select l_suppkey, l_partkey, v from b where r <= 3"),
+    "srt_band_argmax": (
+        band_argmax,
+        """with g as (select user_id, max(value) filter (value between 20 and 20.2) as a, max(value) filter (value < 20) as b, min(value) filter (value > 20.2) as c from events group by 1)
+        select user_id, coalesce(a, b, c) as pick, case when a is not null then 0 when b is not null then 1 when c is not null then 2 else 3 end as level from g""",
     ),
-    "prj_time_shift": both("select o_orderkey, round(case when abs(dt) < 20 then dt + 0.25 * cast(o_custkey % 4 as double) else 0 end, 6) as t from (select *, cast(" + DT + " as double) as dt from {orders}) a"),
-    "prj_reanchor": both("select a.o_orderkey, round(a.o_totalprice + (b.p - a.o_totalprice / 2) + 0.00001, 2) as t from {orders} a join (select o_custkey, avg(o_totalprice) as p from {orders} group by o_custkey) b on a.o_custkey = b.o_custkey"),
-    "flt_prefix_exclude": both("select p_partkey, p_name from {part} where not starts_with(lower(coalesce(p_name, '')), 'red')", spark={"starts_with": "startswith"}),
-    "flt_sentinel": both("select o_orderkey, case when v <= 0 or v >= 300000 then null else v end as v from (select o_orderkey, o_totalprice - 1000 as v from {orders}) a where not (v <= 0 or v >= 300000)"),
-    "flt_finite_count": both("select count(*) as n, cast(count_if(l_discount > 0) as bigint) as usable, cast(sum(case when l_discount > 0 then 0 else 1 end) as bigint) as dropped from {lineitem}"),
-    "flt_photometry_cleanup": both("select user_id, event_type, value from (select distinct user_id, event_type, value from {events} where value between 1 and 90) a where event_type <> 'error'"),
-    "f_time_bias": both("select o_orderkey, round(greatest(-4, -0.5 * pow(abs(dt) / 3, 1.5)), 6) as bias from (select o_orderkey, cast(" + DT + " as double) as dt from {orders}) a"),
-    "f_softmax": both("select user_id, event_id, round(exp(value - m) / sum(exp(value - m)) over (partition by user_id), 8) as p from (select user_id, event_id, value / 10 as value, max(value / 10) over (partition by user_id) as m from {events}) a"),
-    "f_buckets": both("select p_partkey, case when p_size >= 7 then 4 when p_size >= 5 then 3 when p_size = 4 then 2 when p_size = 3 then 1 else 0 end as det, case when p_retailprice > 1500 then 4 when p_retailprice > 1200 then 3 when p_retailprice > 1100 then 2 when p_retailprice > 1000 then 1 else 0 end as span from {part}"),
-    "f_mixed_slots": both("select p_partkey, n_kn, p_size + 1 - n_kn as n_other from (select p_partkey, p_size, cast(least(greatest(floor((p_size + 1) * 0.3 + 0.5), 1), p_size) as int) as n_kn from {part} where p_size >= 2) a"),
-    "f_directional_win": both("select l_orderkey, l_linenumber, round(0.5 * (ma + mb), 6) + 0.0 as interaction, 0.5 * (case when ma > 0 then 1 when ma < 0 then 0 else cast(0.5 as double) end + case when mb > 0 then 1 when mb < 0 then 0 else cast(0.5 as double) end) as wins from (select l_orderkey, l_linenumber, l_discount - l_tax as ma, l_discount - 0.05 as mb from {lineitem}) a"),
-    "f_magnitude_to_flux": both("select p_partkey, round(pow(cast(10.0 as double), -0.4 * (mag - 27.5)), 6) as fluxcal, case when jd > 2400000.5 then jd - 2400000.5 else jd end as mjd from (select p_partkey, 20 + cast(p_size as double) / 10 as mag, case when p_partkey % 2 = 0 then cast(2460000.5 + p_partkey as double) else cast(60000 + p_partkey as double) end as jd from {part}) a"),
-    "agg_moments": both("select l_returnflag, count(*) as n, round(sum(l_quantity) / count(*), 6) as mean, round(sqrt(greatest(0, sum(l_quantity * l_quantity) / count(*) - pow(sum(l_quantity) / count(*), 2))), 6) as std from {lineitem} group by l_returnflag"),
-    "agg_latency": both("select event_type, round(avg(value), 6) as mean, round(percentile(value, 0.5), 6) as p50, round(percentile(value, 0.9), 6) as p90, round(percentile(value, 0.95), 6) as p95, min(value) as lo, max(value) as hi, round(count(*) / sum(value), 6) as throughput from {events} group by event_type"),
-    "agg_shortcut_medians": both("select label, round(percentile(v, 0.5), 6) as median, count(*) as n from (select case when event_id % 3 = 0 then 1 else 0 end as label, value as v from {events}) a group by label"),
-    "agg_worst_source": both("select round(avg(m), 6) as macro, min(m) as worst, max_by(s, -m) as worst_source, round(0.7 * avg(m) + 0.3 * min(m), 6) as score from (select o_orderpriority as s, round(avg(o_totalprice), 4) as m from {orders} group by o_orderpriority) a"),
-    "agg_selection_score": both("select round(sum(w * m) / sum(w), 6) as score from (select case o_orderstatus when 'F' then 0.5 when 'O' then 0.3 else 0.2 end as w, avg(o_totalprice) as m from {orders} group by o_orderstatus) a"),
-    "agg_positives_per_event": both("select round(percentile(n, 0.5), 4) as median, min(n) as lo, max(n) as hi, round(avg(n), 6) as mean from (select o_custkey, count(*) as n from {orders} group by o_custkey) a"),
-    "agg_confusion_rows": both("select a, b, n, round(cast(n as double) / sum(n) over (partition by a), 6) as share from (select l_returnflag as a, l_linestatus as b, count(*) as n from {lineitem} group by l_returnflag, l_linestatus) x"),
-    "agg_density": both("select label, bin, count(*) as n from (select event_id % 2 as label, cast(floor(ln(p / (1 - p)) * 2) as int) as bin from (select event_id, least(greatest(" + SCORE + ", 0.001), 0.999) as p from {events}) a) b group by label, bin"),
-    "agg_dose_response": (dose_response, both("select bin, count(*) as n, round(avg(x), 4) as dose, round(avg(y), 6) as response from (select l_extendedprice as x, l_discount as y, ntile(5) over (order by l_extendedprice, l_orderkey, l_linenumber) as bin from {lineitem}) a group by bin", duck={"select bin, count": "select bin::int as bin, count"})[1]),
-    "agg_night_coverage": both("select night, count(*) as tiles, cast(sum(size) as bigint) as p from (select distinct o_custkey % 7 as night, o_custkey % 50 as tile from {orders}) a join (select p_partkey as k, p_size as size from {part} where p_partkey between 1 and 50) b on a.tile + 1 = b.k group by night"),
-    "agg_weighted_bincount": both("select s_nationkey as tile, round(sum(s_acctbal), 4) as p, count(*) as n from {supplier} group by s_nationkey"),
-    "agg_mixed_outcome": both(
-        """select g, cast(sum(case when not pos and s > ps then 1 else 0 end) as bigint) + 1 as rank_all, cast(sum(case when not pos and kn and s > ps then 1 else 0 end) as bigint) + 1 as rank_kn, round(max(case when pos then s end) - max(case when not pos then s end), 6) as margin, max_by(case when pos then 'positive' when kn then 'kn' else 'other' end, s * 1000000 + id) as top
-        from (select *, max(case when pos then s end) over (partition by g) as ps from (select user_id as g, event_id as id, event_id = min(event_id) over (partition by user_id) as pos, event_type = 'view' as kn, value as s from {events}) a) b group by g"""
+    "srt_shortlist_rescore": (
+        shortlist_rescore,
+        """with a as (select *, row_number() over (partition by p_brand order by p_size desc, p_partkey) > 10 as late, abs(p_retailprice - 1200) as x from part), b as (select p_brand, p_type, min((late, x, p_partkey)) as k from a group by all), c as (select p_brand, k.c as p_partkey, row_number() over (partition by p_brand order by k) as r from (select p_brand, {'a': k[1], 'b': k[2], 'c': k[3]} as k from b) y)
+        select p_brand, p_partkey from c where r <= 3""",
     ),
-    "agg_out_of_window": both("select count(*) as n, cast(sum(case when abs(dt) <= 5 then 1 else 0 end) as bigint) as inside, cast(sum(case when abs(dt) > 5 then 1 else 0 end) as bigint) as replaced, round(avg(case when abs(dt) <= 5 then dt else 0.1 * (o_orderkey % 50) end), 6) as mean from (select o_orderkey, cast(" + DT + " as double) as dt from {orders}) a"),
-    "agg_batch_mean": both("select round(avg(m), 6) as batch_mean, count(*) as batches from (select cast(floor(event_id / 64) as bigint) as b, avg(value) as m from {events} group by cast(floor(event_id / 64) as bigint)) a"),
-    "agg_endpoint_table": both(
-        """select flag, status, n, round(m, 8) as mean, round(positive, 6) as positive from (select coalesce(l_returnflag, 'all') as flag, coalesce(l_linestatus, 'all') as status, count(*) as n, avg(l_discount - l_tax) as m, avg(case when l_discount > l_tax then cast(1 as double) else 0 end) as positive from {lineitem} group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())) a"""
+    "smp_time_mixture": (time_mixture, "select user_id, event_id, case when row_number() over (partition by user_id order by event_id * 7919 % 10007, event_id) <= round(count(*) over (partition by user_id) * 0.25) then 'empirical' else 'uniform' end as mode from events"),
+    "smp_nearest_bin": (nearest_bin, "select q, arg_min(b, (abs(b - q), b)) as bin from (select distinct p_size as q from part) a, (select distinct s_nationkey * 2 as b from supplier) c group by q"),
+    "smp_source_balanced": (source_balanced, "with a as (select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey * 7919 % 1009, s_suppkey) as r from supplier) select s_nationkey, s_suppkey from a where r <= 2"),
+    "opx_candidate_dt": (candidate_dt, "select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then l_quantity when 1 then 0 else max(l_quantity) over (partition by l_orderkey) end::double as dt from lineitem"),
+    "opx_triplets": (
+        triplets,
+        """with m as (select user_id, event_type, exp(value / 10 - max(value / 10) over (partition by user_id)) as e from events), p as (select event_type, e / sum(e) over (partition by user_id) as p from m)
+        select case event_type when 'view' then 'true' when 'click' then 'mismatch' when 'error' then 'foreign' else 'early' end as kind, case when event_type = 'view' then 1 else 0 end as label, count(*) as n, round(avg(p), 8) as p from p where event_type in ('view', 'click', 'error', 'signup') group by event_type""",
     ),
-    "stat_width_bucket": both("select b, count(*) as n from (select cast(greatest(0, least(19, floor((o_totalprice - lo) / (hi - lo) * 20))) as int) as b from {orders}, (select percentile(o_totalprice, 0.001) as lo, percentile(o_totalprice, 0.999) as hi from {orders}) q where o_totalprice between lo and hi) a group by b"),
-    "win_standardise": both("select event_id, round((value - avg(value) over (partition by user_id)) / stddev_pop(value) over (partition by user_id), 6) as z from {events}"),
-    "win_harmonic": both("select n, round(sum(1 / cast(n as double)) over (order by n rows between unbounded preceding and current row), 9) as h from (select distinct p_size + 1 as n from {part}) a"),
-    "win_stable_rank": both("select user_id, r from (select user_id, event_id, row_number() over (partition by user_id order by cast(floor(value / 10) as int) desc, event_id) as r, row_number() over (partition by user_id order by event_id) as k from {events}) a where k = 1", duck={"select user_id, r from": "select user_id, r::int as r from"}),
-    "win_pair_mask": both("select o_orderkey, o_custkey from (select o_orderkey, o_custkey, count(*) over (partition by o_custkey) as n from {orders}) a where n >= 12"),
-    "win_dense_remap": (dense_remap, both("select o_orderkey, dense_rank() over (order by o_custkey) - 1 as idx from {orders}", duck={"dense_rank() over (order by o_custkey) - 1 as idx": "(dense_rank() over (order by o_custkey) - 1)::int as idx"})[1]),
-    "win_checkpoint_delta": both("select step, v, v > best + 50 as keep from (select step, v, coalesce(max(v) over (order by step rows between unbounded preceding and 1 preceding), 0) as best from (select o_custkey % 40 as step, round(avg(o_totalprice), 2) as v from {orders} group by o_custkey % 40) a) b"),
-    "srt_forced_positive": both("select user_id, event_id, slot from (select user_id, event_id, row_number() over (partition by user_id order by case when event_type = 'purchase' and value > 95 then 0 else 1 end, value desc, event_id) as slot from {events}) a where slot <= 6", duck={"event_id, slot from": "event_id, slot::int as slot from"}),
-    "srt_exhaustive_galleries": both("select o_custkey, trial, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ordinal from {orders}) a join (select r_regionkey as trial from {region}) t on ordinal = cast(floor(trial / 2) as int)"),
-    "srt_composite_minimum": both("select o_orderstatus, o_orderpriority, m from (select *, row_number() over (partition by o_orderstatus order by case when c between 0.4 and 0.6 then 0 else 1 end, m, o_orderpriority) as r from (select o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) as m, avg(case when o_totalprice > 150000 then cast(1 as double) else 0 end) as c from {orders} group by o_orderstatus, o_orderpriority) a) b where r = 1"),
-    "srt_unique_parent_topk": both("select l_suppkey, l_partkey, v from (select *, row_number() over (partition by l_suppkey order by v desc, l_partkey) as r from (select l_suppkey, l_partkey, max(l_extendedprice) as v from {lineitem} group by l_suppkey, l_partkey) a) b where r <= 3"),
-    "srt_band_argmax": both("select u.user_id, coalesce(b.v, -1) as pick from (select distinct user_id from {events}) u left join (select user_id, max(value) as v from {events} where value between 20 and 21 group by user_id) b on u.user_id = b.user_id"),
-    "srt_shortlist_rescore": both("select p_brand, p_partkey from (select *, row_number() over (partition by p_brand order by abs(p_retailprice - 1200), p_partkey) as r2 from (select p_brand, p_partkey, p_retailprice, row_number() over (partition by p_brand order by p_size desc, p_partkey) as r1 from {part}) a where r1 <= 10) b where r2 <= 3"),
-    "smp_time_mixture": both("select user_id, event_id, case when r <= round(n * 0.25) then 'empirical' else 'uniform' end as mode from (select user_id, event_id, row_number() over (partition by user_id order by event_id * 7919 % 10007, event_id) as r, count(*) over (partition by user_id) as n from {events}) a"),
-    "smp_nearest_bin": both("select q, min_by(b, abs(b - q) * 1000 + b) as bin from (select distinct p_size as q from {part}) a, (select distinct s_nationkey * 2 as b from {supplier}) c group by q"),
-    "smp_source_balanced": both("select s_nationkey, s_suppkey from (select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey * 7919 % 1009, s_suppkey) as r from {supplier}) a where r <= 2"),
-    "opx_candidate_dt": both("select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then l_quantity when 1 then 0 else max(l_quantity) over (partition by l_orderkey) end as dt from {lineitem}"),
-    "opx_triplets": both("select kind, label, count(*) as n from (select 'true' as kind, 1 as label, event_id from {events} where event_type = 'view' union all select 'mismatch', 0, event_id from {events} where event_type = 'click' union all select 'foreign', 0, event_id from {events} where event_type = 'error' union all select 'early', 0, event_id from {events} where event_type = 'signup') a group by kind, label"),
-    "opx_metric_delta": both("select a.o_orderpriority as scope, round(a.m - b.m, 4) as delta from (select o_orderpriority, avg(o_totalprice) as m from {orders} where o_orderstatus = 'F' group by o_orderpriority) a join (select o_orderpriority, avg(o_totalprice) as m from {orders} where o_orderstatus = 'O' group by o_orderpriority) b on a.o_orderpriority = b.o_orderpriority"),
-    "opx_event_lattice": both("select c_custkey, case when c_acctbal = 0 then 'type1' when n is null then 'type2' else 'pos' end as kind from {customer} left join (select o_custkey, count(*) as n from {orders} where o_orderstatus = 'F' group by o_custkey having count(*) >= 5) o on c_custkey = o_custkey"),
-    "opx_coverage": both("select s, count(distinct c) as coordinates, count(*) as n, count(distinct c) = max(total) as complete from (select l_returnflag as s, l_suppkey % 25 as c from {lineitem}) a, (select count(distinct l_suppkey % 25) as total from {lineitem}) t group by s"),
-    "val_paired_outcomes": both("select o_custkey, count(distinct o_orderstatus) as models, count(*) as n from {orders} group by o_custkey having count(distinct o_orderstatus) < 3"),
-    "val_probability_range": both("select cast(sum(case when p < 0 or p > 1 then 1 else 0 end) as bigint) as outside, count(*) as n from (select l_discount * 10.5 as p from {lineitem}) a"),
-    "val_missing_reference": both("select l_partkey, count(*) as n from {lineitem} l where not exists (select 1 from {part} p where p.p_partkey = l.l_partkey and p.p_size < 45) group by l_partkey"),
-    "src_like_union": both("select p_partkey, label from (select p_partkey, 'promo' as label from {part} where p_type like 'PROM%' union all select p_partkey, 'l' as label from {part} where p_type like '%L%') a"),
-    "src_bounds": both("select min(l_shipdate) as first, max(l_shipdate) as last from {lineitem}"),
-    "src_first_user_turn": both("select conv_id, min(turn) as turn, count(*) as turns from {conversations} group by conv_id"),
+    "opx_metric_delta": (metric_delta, "select a.o_orderpriority as scope, round(a.m - b.m, 4) as delta from (select o_orderpriority, avg(o_totalprice) as m from orders where o_orderstatus = 'F' group by 1) a join (select o_orderpriority, avg(o_totalprice) as m from orders where o_orderstatus = 'O' group by 1) b using (o_orderpriority)"),
+    "opx_event_lattice": (event_lattice, "select c_custkey, case when c_acctbal < 0 then 'type1' when (select count(*) from orders where o_custkey = c_custkey and o_orderstatus = 'F') >= 5 then 'pos' else 'type2' end as kind from customer"),
+    "opx_coverage": (coverage, "select l_returnflag as s, count(distinct l_suppkey % 25) as coordinates, count(*) as n, count(distinct l_suppkey % 25) = (select count(distinct l_suppkey % 25) from lineitem) as complete from lineitem group by 1"),
+    "val_paired_outcomes": (paired_outcomes, "select o_custkey, 3 - count(distinct o_orderstatus) as missing from orders group by 1 having count(distinct o_orderstatus) < 3"),
+    "val_probability_range": (probability_range, "select 'probability' as rule, count(*) filter (l_discount * 10.5 < 0 or l_discount * 10.5 > 1) as n from lineitem"),
+    "val_missing_reference": (missing_reference, "select l_partkey, count(*) as n from lineitem l where not exists (select 1 from part p where p.p_partkey = l.l_partkey and p.p_size < 45) group by 1"),
+    "src_bounds": (bounds, "select min(l_shipdate) as first, max(l_shipdate) as last from lineitem"),
+    "src_first_user_turn": (first_user_turn, "select conv_id, min(turn) filter (role = 'user') as turn, count(*) as turns from conversations group by 1"),
 }

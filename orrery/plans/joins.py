@@ -96,11 +96,10 @@ def as_of(spark, d):
 
 
 def nearest(spark, d):
-    """Nearest condition by scaled distance within a brand."""
+    """Nearest other part of its brand by scaled distance, for every part."""
     p = load(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100.0).alias("b"))
-    left = p.where("p_partkey % 7 = 0").select("p_brand", F.col("p_partkey").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb"))
-    right = p.where("p_partkey % 7 <> 0")
-    dist = F.round(F.sqrt(F.pow(F.col("a") - F.col("qa"), F.lit(2.0)) + F.pow(F.col("b") - F.col("qb"), F.lit(2.0))), 9)
+    left, right = p.select("p_brand", F.col("p_partkey").alias("q"), F.col("a").alias("qa"), F.col("b").alias("qb")), p
+    dist = F.when(F.col("q") != F.col("p_partkey"), F.round(F.sqrt(F.pow(F.col("a") - F.col("qa"), F.lit(2.0)) + F.pow(F.col("b") - F.col("qb"), F.lit(2.0))), 9))
     return I.nearest(left, right, group=["p_brand"], distance=dist, order=["p_partkey"], keep=["p_partkey"]).select("q", "p_partkey", F.round("distance", 6).alias("distance"))
 
 
@@ -292,7 +291,7 @@ QUERIES = {
     "join_asof": (as_of, f"with {EV} select a.event_id, round(v.value, 6) as value, coalesce(v.t, -1) as vt from (select * from e where event_type = 'purchase') a asof left join (select * from e where event_type = 'view') v on a.user_id = v.user_id and a.t >= v.t"),
     "join_nearest": (
         nearest,
-        """with p as (select p_brand, p_partkey, p_size::double as a, p_retailprice / 100.0 as b from part), d as (select q.p_partkey as q, r.p_partkey, round(sqrt(pow(r.a - q.a, 2) + pow(r.b - q.b, 2)), 9) as d from p q join p r using (p_brand) where q.p_partkey % 7 = 0 and r.p_partkey % 7 <> 0)
+        """with p as (select p_brand, p_partkey, p_size::double as a, p_retailprice / 100.0 as b from part), d as (select q.p_partkey as q, r.p_partkey, round(sqrt(pow(r.a - q.a, 2) + pow(r.b - q.b, 2)), 9) as d from p q join p r using (p_brand) where q.p_partkey <> r.p_partkey)
         select q, arg_min(p_partkey, (d, p_partkey)) as p_partkey, round(min(d), 6) as distance from d group by q""",
     ),
     "join_division": (division, "select l_partkey from lineitem group by 1 having count(distinct l_returnflag || l_linestatus) = (select count(distinct l_returnflag || l_linestatus) from lineitem)"),
