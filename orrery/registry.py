@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bridge, catalogs, contracts, extras, galleries, joins, lightcurves, scores, sources, survey
+from .plans import bridge, catalogs, contracts, curves, extras, galleries, joins, lightcurves, scores, sources, survey
 
-QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES, **extras.QUERIES, **galleries.QUERIES, **contracts.QUERIES, **survey.QUERIES, **bridge.QUERIES, **sources.QUERIES}
+QUERIES: dict = {**lightcurves.QUERIES, **catalogs.QUERIES, **scores.QUERIES, **joins.QUERIES, **extras.QUERIES, **galleries.QUERIES, **contracts.QUERIES, **survey.QUERIES, **bridge.QUERIES, **sources.QUERIES, **curves.QUERIES}
 
 
 def queries() -> dict:
