@@ -103,10 +103,17 @@ def pixel_area_deg2(order: Column) -> Column:
     return F.lit(4 * math.pi * (180 / math.pi) ** 2) / (F.lit(12.0) * F.pow(F.lit(4.0), order))
 
 
+def _let(x: Column, then) -> Column:
+    """``then`` of x, with x evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def ang2pix_ring(nside: int, ra: Column, dec: Column) -> Column:
     """HEALPix RING pixel of a position in degrees."""
-    z = F.sin(F.radians(dec))
-    tt = F.pmod(ra, F.lit(360.0)) / F.lit(90.0)
+    return _let(F.struct(F.sin(F.radians(dec)).alias("z"), (F.pmod(ra, F.lit(360.0)) / F.lit(90.0)).alias("tt")), lambda v: _ring(nside, v["z"], v["tt"]))
+
+
+def _ring(nside: int, z: Column, tt: Column) -> Column:
     n = float(nside)
     t1, t2 = F.lit(n) * (F.lit(0.5) + tt), F.lit(n * 0.75) * z
     jp, jm = F.floor(t1 - t2), F.floor(t1 + t2)
@@ -170,8 +177,11 @@ def _gather(x: Column, bits: int) -> Column:
 
 def ang2pix_nest(order: int, ra: Column, dec: Column) -> Column:
     """HEALPix NEST pixel of a position in degrees."""
+    return _let(F.struct(F.sin(F.radians(dec)).alias("z"), (F.pmod(ra, F.lit(360.0)) / F.lit(90.0)).alias("tt")), lambda v: _nest(order, v["z"], v["tt"]))
+
+
+def _nest(order: int, z: Column, tt: Column) -> Column:
     nside = 1 << order
-    z, tt = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / F.lit(90.0)
     t1, t2 = F.lit(float(nside)) * (F.lit(0.5) + tt), F.lit(nside * 0.75) * z
     jp, jm = F.floor(t1 - t2), F.floor(t1 + t2)
     fp, fm = F.shiftright(jp, order), F.shiftright(jm, order)
@@ -184,16 +194,21 @@ def ang2pix_nest(order: int, ra: Column, dec: Column) -> Column:
     face = F.when(polar, F.when(z >= 0, quarter).otherwise(quarter + 8)).otherwise(face)
     x = F.when(polar, F.when(z >= 0, nside - 1 - cm).otherwise(cp)).otherwise(x)
     y = F.when(polar, F.when(z >= 0, nside - 1 - cp).otherwise(cm)).otherwise(y)
-    return face * (nside * nside) + _spread(x, order) + F.shiftleft(_spread(y, order), 1)
+    place = F.struct(face.cast("long").alias("f"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    return _let(place, lambda v: v["f"] * (nside * nside) + _spread(v["x"], order) + F.shiftleft(_spread(v["y"], order), 1))
 
 
 def pix2ang_nest(order: Column | int, pixel: Column, most: int = MOST_ORDER) -> tuple[Column, Column]:
     """Right ascension and declination in degrees of a NEST pixel's centre; orders may differ by row, up to ``most``."""
     order = F.lit(order) if isinstance(order, int) else order
     nside = F.pow(F.lit(2.0), order).cast("long")
-    face = F.floor(pixel / (nside * nside)).cast("int")
-    inside = pixel - face * nside * nside
-    x, y = _gather(inside, most), _gather(F.shiftright(inside, 1), most)
+    at = F.struct(nside.alias("n"), F.floor(pixel / (nside * nside)).cast("int").alias("f"), (pixel - F.floor(pixel / (nside * nside)) * nside * nside).alias("i"))
+    at = _let(at, lambda v: F.struct(v["n"].alias("n"), v["f"].alias("f"), _gather(v["i"], most).alias("x"), _gather(F.shiftright(v["i"], 1), most).alias("y")))
+    angles = _let(at, lambda v: _centre(v["n"], v["f"], v["x"], v["y"]))
+    return angles["ra"], angles["dec"]
+
+
+def _centre(nside: Column, face: Column, x: Column, y: Column) -> Column:
     row = F.element_at(F.array(*[F.lit(v) for v in FACE_ROW]), face + 1) * nside - x - y - 1
     north, south = row < nside, row > 3 * nside
     ring = F.when(north, row).when(south, 4 * nside - row).otherwise(nside)
@@ -202,7 +217,7 @@ def pix2ang_nest(order: Column | int, pixel: Column, most: int = MOST_ORDER) ->
     shift = F.when(north | south, F.lit(0).cast("long")).otherwise((row - nside).bitwiseAND(1))
     place = F.floor((F.element_at(F.array(*[F.lit(v) for v in FACE_COLUMN]), face + 1) * ring + x - y + 1 + shift) / 2)
     place = F.when(place > 4 * ring, place - 4 * ring).when(place < 1, place + 4 * ring).otherwise(place)
-    return (place - (shift + 1) * F.lit(0.5)) * (F.lit(90.0) / ring), F.degrees(F.asin(z))
+    return F.struct(((place - (shift + 1) * F.lit(0.5)) * (F.lit(90.0) / ring)).alias("ra"), F.degrees(F.asin(z)).alias("dec"))
 
 
 def pix2ang_ring(nside: int, pixel: Column) -> tuple[Column, Column]:
@@ -225,11 +240,6 @@ def pix2ang_ring(nside: int, pixel: Column) -> tuple[Column, Column]:
 SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def _let(x: Column, then) -> Column:
-    """``then`` of x, with x evaluated once however often it is used."""
-    return F.element_at(F.transform(F.array(x), then), 1)
-
-
 def _times64(x: Column, by: int) -> Column:
     """Product modulo 2**64 of a long (as bits) and a constant: four products of 32 bits, none of which overflows a decimal."""
     low, high = x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)

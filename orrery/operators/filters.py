@@ -165,3 +165,8 @@ def paired(df: DataFrame, *, key: list[str], of: str, values: list) -> DataFrame
     g = df.where(F.col(of).isin(values)).groupBy(*key).agg(F.count_distinct(of).alias("n"))
     every = df.select(*key).distinct().join(g, key, "left")
     return every.select(*key, (F.lit(len(values)) - F.coalesce("n", F.lit(0))).alias("missing")).where("missing > 0")
+
+
+def mask(dt: Column, within: float) -> Column:
+    """at_event for a time difference of zero, in_window up to ``within``, else outside; null is outside."""
+    return F.when(dt == 0, "at_event").when(F.abs(dt) <= within, "in_window").otherwise("outside")

@@ -160,3 +160,25 @@ def sign_flip(groups: DataFrame, *, by: list[str], value: str, key: str, draws:
     sign = F.when(hash32(key_of("flip", F.col(key), F.col("draw"))) % 2 == 0, 1.0).otherwise(-1.0)
     means = r.groupBy(*by, "draw").agg(F.avg(sign * F.col(value)).alias("m"))
     return means.join(real, by).groupBy(*by, "mean").agg(((F.count_if(F.abs("m") >= F.abs("mean") - 1e-12) + 1) / F.lit(draws + 1.0)).alias("p"))
+
+
+def shortcut_auc(df: DataFrame, features: list[str], label: str, *, rounds: int = 50) -> DataFrame:
+    """auroc of a logistic regression on the features alone: how much of the label they give away.
+
+    Rows whose features aren't all finite are left out; the fit is distributed, and the score is of the rows it was fitted on.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ..functions.core import finite
+
+    ok = F.lit(True)
+    for c in features:
+        ok = ok & F.coalesce(finite(F.col(c).cast("double")), F.lit(False))
+    rows = df.where(ok).select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias("label"))
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(rows)
+    rows = StandardScaler(inputCol="__x", outputCol="__z", withMean=True).fit(rows).transform(rows)
+    model = LogisticRegression(featuresCol="__z", labelCol="label", maxIter=rounds).fit(rows)
+    scored = model.transform(rows).select(F.lit(1).alias("g"), vector_to_array("probability")[1].alias("score"), "label")
+    return auroc(scored, by=["g"]).select("auroc")

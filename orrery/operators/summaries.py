@@ -145,3 +145,10 @@ def panel_coverage(df: DataFrame, *, scenario: str, coordinate: str) -> DataFram
 def unreferenced(rows: DataFrame, known: DataFrame, *, key: str) -> DataFrame:
     """key, n: keys of rows that the known table lacks."""
     return rows.join(known.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+
+
+def ranked_trials(trials: DataFrame, weights: dict[str, float], *, trial: str, rows: Column, batch: int, epochs: int) -> DataFrame:
+    """trial, objective (weighed metrics), steps (batches of all epochs), rank: the largest objective first."""
+    value = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights.items()])
+    t = trials.select(trial, value.alias("objective"), (epochs * F.ceil(rows / batch)).alias("steps"))
+    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("objective"), trial)))  # a row a trial

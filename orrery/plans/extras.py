@@ -39,6 +39,53 @@ def greedy(spark, d):
     return P.greedy_disjoint(e, by=["p_type"], most=5)
 
 
+def caliper_edges(spark, d):
+    """Small parts of a type against its large ones within a caliper of price."""
+    p = load(spark, d, "part").select("p_brand", F.col("p_partkey").alias("i"), "p_size", "p_retailprice").where("p_size <= 25")
+    q = load(spark, d, "part").where("p_size > 25").select("p_brand", F.col("p_partkey").alias("j"), F.col("p_retailprice").alias("price"))
+    e = I.interval_join(p, q, lo=F.col("p_retailprice") - 60, hi=F.col("p_retailprice") + 60, at=F.col("price"), width=120, on=["p_brand"])
+    return e.select("p_brand", "i", "j", F.round(F.abs(F.col("p_retailprice") - F.col("price")), 4).alias("cost"))
+
+
+def matched(spark, d):
+    return P.matched(caliper_edges(spark, d), by=["p_brand"], most=10_000)
+
+
+def shortcut(spark, d):
+    from ..operators import metrics as M
+
+    li = load(spark, d, "lineitem").withColumn("label", (F.col("l_quantity") + F.col("l_linenumber") * 3 > 30).cast("int"))
+    return M.shortcut_auc(li, ["l_quantity", "l_discount", "l_tax"], "label").select(F.round("auroc", 3).alias("auroc"))
+
+
+def eligible(spark, d):
+    """Candidates in the event's window, at its time, or outside, by price as a time."""
+    o = orders(spark, d)
+    return o.select(X.mask(F.col("dt"), 5.0).alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
+
+
+def objective(spark, d):
+    """Objective of each study's trials: two metrics weighed, the steps that its batches mean, and the best trial first."""
+    o = load(spark, d, "orders").groupBy((F.col("o_custkey") % 30).alias("trial")).agg(F.avg("o_totalprice").alias("a"), F.count("*").alias("n"))
+    r = U.ranked_trials(o, {"a": 0.7, "n": 0.3}, trial="trial", rows=F.col("n"), batch=64, epochs=3)
+    return r.select("trial", F.round("objective", 4).alias("objective"), "steps", "rank")
+
+
+def latency_rows(spark, d):
+    """Each observation's age after its parent's first order, in days, with the parent's nation."""
+    o = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    first = o.groupBy("c_custkey").agg(F.min("o_orderdate").alias("t0"))
+    c = load(spark, d, "customer").select("c_custkey", "c_nationkey").join(first, "c_custkey")
+    j = o.join(c, "c_custkey")
+    return j.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg(F.timestamp_diff("SECOND", F.col("t0"), F.col("o_orderdate")) / 86400.0), 6).alias("latency"))
+
+
+def density_histogram(spark, d):
+    """Histogram of curves by bins of rows and span, from the curves' own rows."""
+    li = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), (F.max("l_quantity") - F.min("l_quantity")).alias("span"))
+    return li.groupBy(X.bucket(F.col("n"), [1, 3, 5]).alias("rows"), X.bucket(F.col("span"), [5.0, 20.0, 40.0]).alias("spans")).agg(F.count("*").alias("n"))
+
+
 def bands(spark, d):
     e = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("f"), (F.col("l_discount") * 1000 + 1).alias("e"), F.element_at(F.array(*[F.lit(x) for x in C.M5]), (F.col("l_linenumber") % 6 + 1).cast("int")).alias("m5"))
     b = C.softening(F.col("m5"))
@@ -360,6 +407,21 @@ QUERIES = {
         select pair, round(-greatest(0, (da * da * sbb - 2 * da * db * sab + db * db * saa) / (saa * sbb - sab * sab) / 8 + ln((saa * sbb - sab * sab) / sqrt(dl * dr)) / 2), 5) as score from x""",
     ),
     "srt_greedy_disjoint": (greedy, None),
+    "srt_least_cost_pairs": (matched, None),
+    "stat_shortcut_auc": (shortcut, None),
+    "flt_eligibility": (eligible, f"select case when {DT} = 0 then 'at_event' when abs({DT}) <= 5 then 'in_window' else 'outside' end as mask, count(*) as n from orders group by 1"),
+    "opx_ranked_trials": (
+        objective,
+        "with o as (select o_custkey % 30 as trial, avg(o_totalprice) as a, count(*) as n from orders group by 1), s as (select trial, 0.7 * a + 0.3 * n as v, n from o) select trial, round(v, 4) as objective, (3 * ceil(n / 64))::bigint as steps, row_number() over (order by v desc, trial)::int as rank from s",
+    ),
+    "opx_latency": (
+        latency_rows,
+        "with f as (select o_custkey, min(o_orderdate) as t0 from orders group by 1) select c_nationkey, count(*) as n, round(avg(epoch(o_orderdate - t0) / 86400), 6) as latency from orders join f using (o_custkey) join customer on c_custkey = o_custkey group by 1",
+    ),
+    "opx_density_histogram": (
+        density_histogram,
+        "with c as (select l_orderkey, count(*) as n, max(l_quantity) - min(l_quantity) as s from lineitem group by 1) select (n > 1)::int + (n > 3)::int + (n > 5)::int as rows, (s > 5)::int + (s > 20)::int + (s > 40)::int as spans, count(*) as n from c group by all",
+    ),
     "prj_calibration": (
         calibration,
         """with a as (select p_partkey, p_size::double / 40 + 0.5 as s, 22 + (p_partkey % 30)::double / 10 as m5, 19 + (p_partkey % 17)::double / 10 as sky from part), b as (select *, 4 * pi() * pow(s / (2 * sqrt(2 * ln(2))), 2) as area from a), c as (select *, 2 * m5 - sky + 2.5 * log10(25 * area) + 2.5 * log10(1 + pow(10, -0.4 * (m5 - sky)) / area) as zpt from b)

@@ -49,18 +49,26 @@ def latest_status(status: DataFrame, path: str, *, key: str, by: str):
     return status.writeStream.foreachBatch(write)
 
 
-def kth_detection(obs: DataFrame, k: int, *, threshold: float = 5.0) -> DataFrame:
-    """(object, ts) when an object's k-th detection arrives: state is one counter an object."""
+def kth_detection(obs: DataFrame, k: int, *, threshold: float = 5.0, late: str = "1 day", keep_days: float = 30.0) -> DataFrame:
+    """(object, ts) when an object's k-th detection arrives: state is one counter an object.
+
+    An object's state goes ``keep_days`` after its last row, by the watermark; a later row begins anew.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
         found = []
-        for pdf in batches:
-            for ts in pdf[(pdf.error > 0) & (pdf.flux / pdf.error > threshold)].sort_values("ts").ts:
-                n += 1
-                if n == k:
-                    found.append({"object": key[0], "ts": ts})
-        state.update((n,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            n, last = state.get if state.exists else (0, 0)
+            for pdf in batches:
+                last = max(last, int(pdf.ts.max().timestamp() * 1000))
+                for ts in pdf[(pdf.error > 0) & (pdf.flux / pdf.error > threshold)].sort_values("ts").ts:
+                    n += 1
+                    if n == k:
+                        found.append({"object": key[0], "ts": ts})
+            state.update((n, last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(keep_days * 86_400_000))
         yield pd.DataFrame(found, columns=["object", "ts"])
 
-    return obs.groupBy("object").applyInPandasWithState(step, "object long, ts timestamp", "n int", "append", "NoTimeout")
+    return obs.withWatermark("ts", late).groupBy("object").applyInPandasWithState(step, "object long, ts timestamp", "n int, last long", "append", "EventTimeTimeout")

@@ -93,3 +93,36 @@ def test_bins(spark):
 def test_leap_seconds(spark):
     df = spark.createDataFrame([(1187008882.4,), (0.0,)], "g double")
     assert [round(r[0], 6) for r in df.select(C.gps_to_mjd(F.col("g"))).collect()] == [57982.528523, 44244.0]
+
+
+@FEW
+@given(st.lists(st.lists(st.integers(0, 20), min_size=4, max_size=4), min_size=1, max_size=4))
+def test_least_cost_pairs(rows):
+    from itertools import permutations
+
+    from orrery.operators import posterior as P
+
+    costs = np.array(rows, float)
+    got = P.least_cost_pairs(costs)
+    assert [r for r, _ in got] == list(range(len(rows))) and len({c for _, c in got}) == len(rows)
+    assert sum(costs[r, c] for r, c in got) == min(sum(costs[r, c] for r, c in enumerate(p)) for p in permutations(range(4), len(rows)))
+
+
+def test_matched_pairs_are_the_cheapest(spark):
+    from itertools import permutations
+
+    from orrery.operators import posterior as P
+
+    rows = [(1, i, j, float((i * 7 + j * 5) % 11)) for i in range(4) for j in range(5) if (i + j) % 4]
+    got = P.matched(spark.createDataFrame(rows, "g int, i int, j int, cost double"), by=["g"], most=10).collect()
+    cost = {(i, j): c for _, i, j, c in rows}
+    every = [[(i, j) for i, j in enumerate(p) if (i, j) in cost] for p in permutations(range(5), 4)]
+    most = max(map(len, every))
+    assert len(got) == most and len({r.i for r in got}) == len({r.j for r in got}) == most
+    assert sum(r.cost for r in got) == min(sum(cost[e] for e in x) for x in every if len(x) == most)
+    assert len(P.matched(spark.createDataFrame(rows, "g int, i int, j int, cost double"), by=["g"], most=2).collect()) == 2
+
+
+def test_shortcut_finds_what_gives_the_label_away(spark):
+    df = spark.range(400).selectExpr("cast(id % 20 as double) as a", "cast(id * 7 % 13 as double) as b", "cast(id % 20 > 9 as int) as y").unionByName(spark.createDataFrame([(float("nan"), 1.0, 1)], "a double, b double, y int"))
+    assert M.shortcut_auc(df, ["a", "b"], "y").first().auroc > 0.99 and M.shortcut_auc(df, ["b"], "y").first().auroc < 0.7
