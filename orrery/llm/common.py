@@ -74,18 +74,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _reads_rows(plan) -> bool:
+    """Whether a logical plan gives each row of one table once or not at all, and the same rows each time."""
+    if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") or not plan.deterministic():
+        return False
+    children = plan.children()
+    return all(_reads_rows(children.apply(k)) for k in range(children.size()))
+
+
 def with_place(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """``columns`` of ``docs`` with __file and __pos, which name the row however often and however cut it is read.
 
-    A row of a file is named by the file and its place in it.  Other plans may deal their rows anew when a part is
-    computed again, so they are written first.
+    A row of a file is named by the file and its place in it.  Plans that do more than choose rows and columns of files
+    may give other rows, or deal them anew, when a part is computed again, so their rows are written first.
     """
     place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos")]
-    try:
-        return docs.select(*columns, *place)
-    except AnalysisException:
-        rows = docs.select(*columns)
-        return staged(rows, "rows").select(*rows.columns, *place)
+    if _reads_rows(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs.select(*columns, *place)
+        except AnalysisException:  # not a kind of file that numbers its rows
+            pass
+    rows = docs.select(*columns)
+    return staged(rows, "rows").select(*rows.columns, *place)
 
 
 def bounded(ids: DataFrame) -> DataFrame:

@@ -183,3 +183,18 @@ def test_remainder_is_crc32_of_text(spark):
 
     got = spark.range(40).select("id", doc_remainder(F.col("id"), 5).alias("r")).collect()
     assert all(x.r == zlib.crc32(str(x.id).encode()) % 5 for x in got)
+
+
+def test_rows_keep_their_place(spark, tmp_path):
+    """Rows of files are named where they stand; plans that could give other rows a second time are written first."""
+    from orrery.llm.common import _reads_rows, with_place
+
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "x"))
+    d = spark.read.parquet(str(tmp_path / "x"))
+    plain = lambda df: _reads_rows(df._jdf.queryExecution().analyzed())
+    assert plain(d) and plain(d.where("id > 3").withColumn("y", F.col("id") * 2))
+    assert not any(map(plain, (d.where(F.rand(1) > 0.5), d.limit(3), d.select(F.explode(F.array("id", "id"))), d.repartition(2), d.unionByName(d), spark.range(3))))
+    for df, n in ((d, 40), (d.unionByName(d), 80), (d.repartition(3), 40)):
+        got = with_place(df, [F.col("id")])
+        assert got.select("__file", "__pos").distinct().count() == n
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in got.collect()}
