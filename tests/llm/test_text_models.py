@@ -198,3 +198,75 @@ def test_rows_keep_their_place(spark, tmp_path):
         got = with_place(df, [F.col("id")])
         assert got.select("__file", "__pos").distinct().count() == n
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in got.collect()}
+
+
+def plain_ftrl(rows, labels):
+    """FTRL-proximal by its definition, a dictionary a coordinate, over rows of distinct features."""
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = {}, {}
+
+    def weight(k):
+        r = 0.0 if k is None else 1.0
+        if abs(z.get(k, 0.0)) <= l1 * r:
+            return 0.0
+        return (math.copysign(l1 * r, z[k]) - z[k]) / ((b + math.sqrt(n[k])) / a + l2 * r)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for d in order.permutation(len(labels)):
+            feats = [*rows[d], None]
+            w = {k: weight(k) for k in feats}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - labels[d]
+            for k in feats:
+                before = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / a * w[k]
+                n[k] = before + g * g
+    return {k: weight(k) for k in z if k is not None and weight(k)}, weight(None)
+
+
+def test_ftrl_equals_a_plain_one():
+    r = random.Random(5)
+    rows, labels = [], []
+    for _ in range(120):
+        y = int(r.random() < 0.3)
+        rows.append(sorted({r.randrange(40) for _ in range(r.randint(0, 12))} | ({90 + r.randrange(3)} if y else set())))
+        labels.append(y)
+    docs, keys = np.repeat(np.arange(120), [len(x) for x in rows]), np.array([k for x in rows for k in x])
+    known, weights, bias = toxicity.fit(docs, keys, np.array(labels, float))
+    want, want_bias = plain_ftrl(rows, labels)
+    assert dict(zip(known.tolist(), weights, strict=True)) == pytest.approx(want) and bias == pytest.approx(want_bias)
+    assert 0 < len(want) < 43
+
+
+def test_lm_score_is_the_sum_over_all_segmentations(spark):
+    path = tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat é", "on a mat the cat", "", "zq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sp = lattice_lm.vocabulary(path)
+    train = [w for t in texts[:3] for w in t.split()]
+    counts: dict = {}
+    for w in train:
+        for i in sp.encode(w):
+            counts[i] = counts.get(i, 0) + 1
+    for prior in (lattice_lm.PRIOR, 1e12):
+        model = lattice_lm.lattice(path, counts, 3, prior)
+        got = {r.doc_id: r.score for r in lattice_lm.lm_score(df, F.col("doc_id") < 3, path, prior=prior).collect()}
+        for k, t in enumerate(texts):
+            want = model.end + sum(every_segmentation(model, w) for w in t.split())
+            assert got[k] == pytest.approx(want / math.log(10), rel=1e-9)
+
+
+def test_very_long_texts(spark):
+    """A long text is one row like any other: whole, and not held to a prefix."""
+    from orrery.llm import line_dedup, quality_rules
+
+    body = "\n".join(" ".join(f"w{(i * 7 + k) % 9000}" for k in range(20)) for i in range(4000))
+    df = spark.createDataFrame([(1, body), (2, body + "\nand an end of its own"), (3, "a short one")], "doc_id long, text string")
+    lines = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert lines[2].text == "and an end of its own" and lines[1].text == body and lines[2]["__removed"] == 4000
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert judged[1].n_words == 80_000 and judged[2].n_words == 80_006
+    lab = spark.createDataFrame([(1, "w1 w2 w3 w4", "x"), (2, "ä ö ü ß", "y")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.language_id(df.where("doc_id < 3"), lab).collect()} == {"x"}
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, label int")
+    assert toxicity.toxicity(df, labels).count() == 3
