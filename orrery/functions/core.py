@@ -75,7 +75,7 @@ def finite(x: Column) -> Column:
 
 def band_index(token: Column) -> Column:
     """Index of a band token such as ``LSST-r``; Y and y are the same, case matters else; null if unknown."""
-    name = F.regexp_replace(F.trim(token), "^(LSST-|lsst)", "")
+    name = F.regexp_replace(F.trim(token), "^LSST-", "")
     place = F.array_position(F.array(*[F.lit(b) for b in BANDS]), name)
     return F.when(name == "y", 5).otherwise(F.when(place > 0, place - 1)).cast("int")
 

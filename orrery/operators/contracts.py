@@ -141,3 +141,36 @@ def collapsed(rows: DataFrame, key: list[str], *, first: list[str], mean: list[s
     checked = g.join(F.broadcast(total))  # one row
     rules = counted(checked, {"equal_coverage": F.col("repeats") == F.col("__total"), **{f"constant_{c}": F.col(f"__{c}") <= 1 for c in first}})
     return g.select(*key, *first, *mean, "repeats"), rules
+
+
+def many_to_one(left: DataFrame, right: DataFrame, on: list[str], *, required: list[str] | None = None) -> DataFrame:
+    """Left join with a table of one row a key; a repeated key of that table, or a null in a required column of it, is an error."""
+    n = F.count("*").over(Window.partitionBy(*on))
+    named = F.concat_ws("|", *[F.col(c).cast("string") for c in on])
+    r = right.withColumn("__n", n)
+    r = r.where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), named)).cast("boolean"))).drop("__n")
+    j = left.join(r, on, "left")
+    for c in required or []:
+        j = j.where(F.when(F.col(c).isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"no {c} for "), named)).cast("boolean")))
+    return j
+
+
+def required_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """rule, n: one row for each column, n = 1 if it is absent or the table is empty of it (all null)."""
+    have = {c.lower() for c in df.columns}
+    present = [c for c in names if c.lower() in have]
+    filled = df.agg(*[(F.count(c) == 0).cast("long").alias(c) for c in present], F.lit(0).alias("__none"))
+    rows = [F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) if c in present else F.struct(F.lit(c).alias("rule"), F.lit(1).cast("long").alias("n")) for c in names]
+    return filled.select(F.inline(F.array(*rows)))
+
+
+def physics(df: DataFrame, *, heavy: str, light: str, spins: list[str], ra: str, dec: str, total: str, parts: list[str], snr: str) -> DataFrame:
+    """Physical ranges of a catalogue's rows: ordered masses, spins, angles, a total that is the sum of its parts, a signal."""
+    added = parts and sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
+    rules = {
+        "masses": C.finite(F.col(light)) & C.finite(F.col(heavy)) & (F.col(heavy) >= F.col(light)) & (F.col(light) > 0),
+        **{s: C.finite(F.col(s)) & (F.abs(s) <= 1) for s in spins},
+        "ra": (F.col(ra) >= 0) & (F.col(ra) < 6.283185307179586), "dec": F.abs(dec) <= 1.5707963267948966,
+        "total": F.abs(F.col(total) - added) <= 1e-12 + 1e-8 * F.abs(added), "signal": F.col(snr) >= 0,
+    }
+    return counted(df, rules)

@@ -160,3 +160,45 @@ def composite_lookup(rows: DataFrame, known: DataFrame, uid: str, *, fields: lis
     keys = known.select(*[F.col(f).cast("string").alias(f"__{f}") for f in fields], *[c for c in known.columns if c not in fields]).withColumn("__there", F.lit(True))
     j = parts.join(keys, [f"__{f}" for f in fields], "left")
     return j.withColumn("found", F.coalesce("__there", F.lit(False))).drop("__there", *[f"__{f}" for f in fields])
+
+
+def pairing_metadata(curves: DataFrame, parents: DataFrame, obs: DataFrame, *, curve: str, parent: str, source: str, time: str, band: str, bands: int) -> DataFrame:
+    """curve, parent, source, log1p of the number of observations, share of bands, log1p of the span, and the parent's median of each."""
+    f = obs.groupBy(curve).agg(F.log1p(F.count("*")).alias("log_n"), (F.count_distinct(band) / F.lit(float(bands))).alias("band_share"), F.log1p(F.max(time) - F.min(time)).alias("log_span"))
+    j = curves.select(curve, parent).join(parents.select(parent, source), parent).join(f, curve)
+    medians = j.groupBy(parent).agg(*[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in ("log_n", "band_share", "log_span")])
+    return j.join(medians, parent).select(curve, parent, source, "log_n", "band_share", "log_span", "median_log_n", "median_band_share", "median_log_span")
+
+
+def batch_galleries(rows: DataFrame, *, batch: Column, key: str, size: int, seed: str) -> DataFrame:
+    """query, slot, row: each row of a batch with itself in slot 0 and the batch's next rows in hashed order, around its end."""
+    b = rows.select(F.col(key).alias("query"), batch.alias("__b")).withColumn("__h", C.hash32(C.key_of(seed, F.col("query"))))
+    w = Window.partitionBy("__b")
+    b = b.withColumn("__p", F.row_number().over(w.orderBy("__h", "query")) - 1).withColumn("__n", F.count("*").over(w))
+    steps = b.withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("__n")).cast("int") - 1)))
+    there = b.select("__b", F.col("__p").alias("__at"), F.col("query").alias("row"))
+    return steps.withColumn("__at", (F.col("__p") + F.col("slot")) % F.col("__n")).join(there, ["__b", "__at"]).select("query", "slot", "row")
+
+
+def nearer(pairs: DataFrame, part: float, *, by: list[str], distance: str) -> DataFrame:
+    """Pairs whose distance is no more than their group's quantile ``part``."""
+    q = pairs.groupBy(*by).agg(F.percentile(distance, F.lit(part)).alias("__q"))
+    return pairs.join(q, by).where(F.col(distance) <= F.col("__q")).drop("__q")
+
+
+def constrained(meta: DataFrame, ranges: dict[str, tuple]) -> tuple[DataFrame, DataFrame]:
+    """(rows inside all closed ranges, a None being no bound; rule, dropped by it alone, kept by all)."""
+    ok = {}
+    for c, (lo, hi) in ranges.items():
+        fits = F.lit(True)
+        if lo is not None:
+            fits = fits & (F.col(c) >= lo)
+        if hi is not None:
+            fits = fits & (F.col(c) <= hi)
+        ok[c] = F.coalesce(fits, F.lit(False))
+    every = F.lit(True)
+    for fits in ok.values():
+        every = every & fits
+    counts = meta.agg(F.count_if(every).alias("kept"), *[F.count_if(~fits).alias(f"__{c}") for c, fits in ok.items()])
+    audit = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"__{c}").alias("dropped"), F.col("kept")) for c in ok])))
+    return meta.where(every), audit

@@ -143,3 +143,11 @@ def synthetic_candidates(events: DataFrame, n: int, *, key: str, within: float,
     c = events.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u = lambda what: C.uniform(C.key_of(seed, what, F.col(key), F.col("candidate")))
     return c.withColumns({"dt": F.lit(within) * u("t"), "ra": 360.0 * u("ra"), "dec": F.degrees(F.asin(2.0 * u("z") - 1.0))})
+
+
+def levels_at(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """point_id, map_id, cell_id, level: each distinct point's nearest cell of its map and that cell's credible level."""
+    from . import sky
+
+    near = sky.nearest_cell(points.dropDuplicates(["point_id", "map_id"]), cells)
+    return near.join(sky.credible_levels(cells).select("map_id", "cell_id", "level"), ["map_id", "cell_id"]).select("point_id", "map_id", "cell_id", "level")

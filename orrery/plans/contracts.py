@@ -103,6 +103,25 @@ def collapse_rules(spark, d):
     return collapse(spark, d, 1)
 
 
+def many_to_one(spark, d):
+    n = load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    j = V.many_to_one(load(spark, d, "customer").select("c_custkey", "c_nationkey"), n, ["c_nationkey"], required=["n_name"])
+    return j.groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+def required(spark, d):
+    s = load(spark, d, "supplier").withColumn("empty", F.lit(None).cast("string"))
+    return V.required_columns(s, ["s_suppkey", "S_NAME", "empty", "absent"])
+
+
+def physics(spark, d):
+    p = load(spark, d, "part").select(
+        (F.col("p_size") / 20.0).alias("m1"), (F.col("p_partkey") % 40 / 20.0).alias("m2"), (F.col("p_partkey") % 23 / 10.0 - 1.1).alias("chi"), (F.col("p_partkey") % 64 / 10.0).alias("ra"), (F.col("p_partkey") % 33 / 10.0 - 1.6).alias("dec"),
+        (F.col("p_size") / 100.0).alias("a"), (F.col("p_retailprice") / 1e5).alias("b"), (F.col("p_size") / 100.0 + F.col("p_retailprice") / 1e5 + F.when(F.col("p_partkey") % 19 == 0, 1e-6).otherwise(0.0)).alias("t"), (F.col("p_size") - 2.0).alias("snr"),
+    )
+    return V.physics(p, heavy="m1", light="m2", spins=["chi"], ra="ra", dec="dec", total="t", parts=["a", "b"], snr="snr")
+
+
 def rules_sql(source: str, rules: dict[str, str]) -> str:
     """The rules one by one, each as its own count."""
     return f"with {source} " + " union all ".join(f"select '{name}' as rule, count(*) filter (not coalesce({ok}, false)) as n from x" for name, ok in rules.items())
@@ -174,6 +193,15 @@ QUERIES = {
         scenarios,
         rules_sql("x as (select o_custkey, count(distinct o_orderstatus) as a, count(distinct o_orderpriority) as b, count(*) as n, count(distinct o_orderkey % 400) as u, count(*) filter (o_orderkey % 9 = 0) as t from orders group by 1)", {"constant_o_orderstatus": "a = 1", "constant_o_orderpriority": "b = 1", "unique_id": "u = n", "one_truth": "t = 1"}),
     ),
+    "join_validated_left": (many_to_one, "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1"),
+    "val_required_columns": (required, "select rule, n from (values ('s_suppkey', 0::bigint), ('S_NAME', 0), ('empty', 1), ('absent', 1)) as v(rule, n)"),
+    "val_physics": (
+        physics,
+        rules_sql(
+            "x as (select p_size / 20.0::double as m1, p_partkey % 40 / 20.0::double as m2, p_partkey % 23 as chi, p_partkey % 64 as ra, p_partkey % 33 as de, p_partkey % 19 <> 0 as t, p_size >= 2 as s from part)",
+            {"masses": "m1 >= m2 and m2 > 0", "chi": "chi between 1 and 21", "ra": "ra / 10.0::double < 2 * pi()", "dec": "abs(de / 10.0::double - 1.6) <= pi() / 2", "total": "t", "signal": "s"},
+        ),
+    ),
     "join_one_to_one": (one_to_one, "select o_orderpriority, round(avg(o_totalprice) filter (o_orderstatus = 'F'), 4) as m_new, round(avg(o_totalprice) filter (o_orderstatus = 'O'), 4) as m_base from orders group by 1"),
     "agg_collapse": (collapse_rows, "select l_suppkey, any_value(l_suppkey % 25) as nation, round(avg(l_discount), 8) as l_discount, count(distinct l_linestatus) as repeats from lineitem group by 1"),
     "val_collapse": (collapse_rules, rules_sql("x as (select count(distinct l_linestatus) as r from lineitem group by l_suppkey), t as (select count(distinct l_linestatus) as t from lineitem)", {"equal_coverage": "r = (select t from t)", "constant_nation": "true"})),

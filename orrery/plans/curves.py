@@ -133,6 +133,54 @@ def classified(spark, d):
     return j.groupBy("scope").agg(F.count("*").alias("seeds"), F.round(F.avg("auroc"), 6).alias("auroc"), F.round(F.avg("accuracy"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
+def metadata(spark, d):
+    c = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("double").alias("t"), "l_returnflag")
+    m = K.pairing_metadata(c, load(spark, d, "customer"), li, curve="o_orderkey", parent="c_custkey", source="c_nationkey", time="t", band="l_returnflag", bands=3)
+    return m.select("o_orderkey", "c_custkey", "c_nationkey", *[F.round(x, 7).alias(x) for x in m.columns[3:]])
+
+
+def batch_galleries(spark, d):
+    return K.batch_galleries(load(spark, d, "events"), batch=F.floor(F.col("event_id") / 32), key="event_id", size=4, seed="gal")
+
+
+def band_indices(spark, d):
+    token = F.element_at(F.array(*[F.lit(x) for x in ("LSST-u", "g", "lsst-r", "i", " z", "y", "Y", "LSST-Y", "G", "w")]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return load(spark, d, "part").select("p_partkey", C.band_index(token).alias("band"))
+
+
+def hash_split(spark, d):
+    """A tenth of the keys, whatever else is in the table, by the key's hash modulo 10,000."""
+    o = load(spark, d, "orders")
+    return o.groupBy((C.hash32(C.key_of("split", F.col("o_orderkey"))) % 10_000 < 1000).alias("held")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def first_columns(spark, d):
+    """The first of several names that the table has, whatever its case."""
+    from ..operators import catalog as K_
+
+    c = load(spark, d, "customer")
+    return c.select("c_custkey", K_.first_column(c, ["balance", "C_AcctBal", "c_name"]).alias("x"), (K_.first_column(c, ["none"]) if K_.first_column(c, ["none"]) is not None else F.lit(None).cast("double")).alias("y"))
+
+
+def caliper_quantile(spark, d):
+    """Pairs of parts of a type within calipers of size and price, of these the nearer half of each type by summed distance."""
+    from ..operators import intervals as I
+
+    p = load(spark, d, "part").select("p_type", F.col("p_partkey").alias("i"), "p_size", "p_retailprice")
+    q = p.select("p_type", F.col("i").alias("j"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    e = I.interval_join(p, q, lo=F.col("p_retailprice") - 30, hi=F.col("p_retailprice") + 30, at=F.col("price"), width=60, on=["p_type"])
+    e = e.where((F.col("i") < F.col("j")) & (F.abs(F.col("p_size") - F.col("size")) <= 6))
+    e = e.withColumn("d", F.round(F.abs(F.col("p_size") - F.col("size")) / 6 + F.abs(F.col("p_retailprice") - F.col("price")) / 30, 6))
+    return K.nearer(e, 0.5, by=["p_type"], distance="d").select("p_type", "i", "j", "d")
+
+
+def meta_filter(spark, d):
+    """Curves by their own constraints, each with what it drops alone."""
+    m = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_det"), F.count_distinct("l_returnflag").alias("n_bands"), (F.max("l_quantity") - F.min("l_quantity")).cast("double").alias("t_span"))
+    return K.constrained(m, {"n_det": (2, None), "n_bands": (2, 3), "t_span": (5.0, 45.0)})[1]
+
+
 H = lambda key: f"('0x' || substr(sha256({key}), 1, 8))::bigint"
 DOT = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 9)"
 B_SOFT = "(pow(10, 0.4 * (31.4 - 24.7)) / 5)"
@@ -191,6 +239,31 @@ QUERIES = {
         "with o as (select o_orderstatus as s, o_custkey % 200 as i from orders), k as (select case when s_suppkey % 2 = 0 then 'F' else 'O' end as s, s_suppkey as i, s_name from supplier) select k.i is not null as found, count(*) as n, count(distinct s_name) as names from o left join k on o.s = k.s and o.i = k.i group by 1",
     ),
     "text_canonical_json": (canonical, """select n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"name":' || case when n_nationkey % 4 <> 0 then '"' || n_name || '"' else 'null' end || '}') as digest from nation"""),
+    "opx_pair_metadata": (
+        metadata,
+        """with f as (select l_orderkey as o, ln(1 + count(*)) as log_n, count(distinct l_returnflag) / 3 as band_share, ln(1 + max(l_quantity) - min(l_quantity)) as log_span from lineitem group by 1), j as (select o, o_custkey as c, c_nationkey, log_n, band_share, log_span from orders join f on o = o_orderkey join customer on c_custkey = o_custkey),
+        m as (select c, quantile_cont(log_n, 0.5) as a, quantile_cont(band_share, 0.5) as b, quantile_cont(log_span, 0.5) as s from j group by 1)
+        select o as o_orderkey, j.c as c_custkey, c_nationkey, round(log_n, 7) as log_n, round(band_share, 7) as band_share, round(log_span, 7) as log_span, round(a, 7) as median_log_n, round(b, 7) as median_band_share, round(s, 7) as median_log_span from j join m on j.c = m.c""",
+    ),
+    "opx_batch_galleries": (
+        batch_galleries,
+        f"""with b as (select event_id as q, event_id // 32 as b, row_number() over (partition by event_id // 32 order by {H(repr('gal|') + ' || event_id')}, event_id) - 1 as p, count(*) over (partition by event_id // 32) as n from events)
+        select a.q as query, s::int as slot, c.q as row from b a, range(0, 4) as r(s), b c where a.b = c.b and c.p = (a.p + s) % a.n and s < a.n""",
+    ),
+    "f_band_index": (band_indices, "select p_partkey, [0, 1, null, 3, 4, 5, 5, 5, null, null][p_partkey % 10 + 1]::int as band from part"),
+    "split_by_hash": (hash_split, f"select {H(repr('split|') + ' || o_orderkey')} % 10000 < 1000 as held, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1"),
+    "prj_first_column": (first_columns, "select c_custkey, c_acctbal as x, null::double as y from customer"),
+    "join_caliper_quantile": (
+        caliper_quantile,
+        """with e as (select a.p_type, a.p_partkey as i, b.p_partkey as j, round(abs(a.p_size - b.p_size) / 6 + abs(a.p_retailprice - b.p_retailprice) / 30, 6) as d from part a join part b on a.p_type = b.p_type and a.p_partkey < b.p_partkey and b.p_retailprice between a.p_retailprice - 30 and a.p_retailprice + 30 and abs(a.p_size - b.p_size) <= 6),
+        q as (select p_type, quantile_cont(d, 0.5) as m from e group by 1) select p_type, i, j, d from e join q using (p_type) where d <= m""",
+    ),
+    "flt_meta_constraints": (
+        meta_filter,
+        """with m as (select count(*) as n, count(distinct l_returnflag) as b, (max(l_quantity) - min(l_quantity))::double as t from lineitem group by l_orderkey)
+        select 'n_det' as rule, count(*) filter (n < 2) as dropped, count(*) filter (n >= 2 and b between 2 and 3 and t between 5 and 45) as kept from m union all select 'n_bands', count(*) filter (b not between 2 and 3), count(*) filter (n >= 2 and b between 2 and 3 and t between 5 and 45) from m
+        union all select 't_span', count(*) filter (t not between 5 and 45), count(*) filter (n >= 2 and b between 2 and 3 and t between 5 and 45) from m""",
+    ),
     "cls_scope_summary": (
         classified,
         """with e as (select event_id % 3 as seed, 's' || user_id % 3 as scope, event_id * 7919 % 1000 / 1000.0::double as s, (event_id * 31 % 10 < 3 + event_id * 7919 % 1000 / 200)::int as y from events), a as (select * from e union all select seed, 'all', s, y from e),

@@ -122,6 +122,14 @@ def scan_times(spark, d):
     return s.select("event", C.scan_seconds(F.col("filters"), F.lit(30.0), F.col("tiles"), OVERHEAD, CHANGE).alias("seconds"))
 
 
+def levels(spark, d):
+    """Credible level at every customer's position, in the map of its nation; repeated positions once."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_nationkey") % 20).cast("int").alias("map_id"))
+    x, y, z = C.unit_vector(F.col("point_id") * 13 % 360, F.col("point_id") % 121 - 60)
+    points = c.select("point_id", "map_id", x.alias("px"), y.alias("py"), z.alias("pz"))
+    return S.levels_at(points.unionByName(points), cells(spark, d)).select("point_id", "cell_id", F.round("level", 6).alias("level"))
+
+
 EVENT_SQL = "ev as (select s_suppkey as event, s_nationkey < 15 as gold, s_suppkey % 4 + 1 as tiles from supplier), wi as (select s_suppkey as event, night, 60000.0::double + s_suppkey + night as s, 60000.0::double + s_suppkey + night + ((s_suppkey * 7 + night * 3) % 10 + 1) * 0.15::double / 24 as e from supplier, range(0, 3) as r(night))"
 SCAN_SQL = f"""{EVENT_SQL}, b as (select *, (e - s) * 86400 as w, 3 * tiles * 122.0::double + 240 as d from wi join ev using (event)),
 n0 as (select *, case when not gold then 'night0_one_silver_scan' when w >= 3 * d then 'night0_three_full_scans' when w >= 2 * d then 'night0_two_full_scans' when w >= d then 'night0_one_full_scan_plus_r_if_time' else 'night0_partial_scan' end as branch, case when not gold then 0 when w >= 3 * d then 3 when w >= 2 * d then 2 when w >= d then 1 else 0 end as nf from b where night = 0),
@@ -177,6 +185,11 @@ QUERIES = {
         f"""with u as (select s_suppkey, c, {H("'syn|t|' || s_suppkey || '|' || c")} / 4294967296.0::double as t, {H("'syn|ra|' || s_suppkey || '|' || c")} / 4294967296.0::double as r, {H("'syn|z|' || s_suppkey || '|' || c")} / 4294967296.0::double as z from supplier, range(0, 5) as x(c))
         select s_suppkey, c::int as candidate, round(20 * t, 6) as dt, round(360 * r, 5) as ra, round(degrees(asin(2 * z - 1)), 5) as "dec" from u""",
     ),
+    "sky_levels_at": (
+        levels,
+        f"""with {LEVEL}, p as (select c_custkey as k, c_nationkey % 20 as m, cos(radians(c_custkey % 121 - 60)) * cos(radians(c_custkey * 13 % 360)) as px, cos(radians(c_custkey % 121 - 60)) * sin(radians(c_custkey * 13 % 360)) as py, sin(radians(c_custkey % 121 - 60)) as pz from customer),
+        n as (select k, m, arg_max(cell_id, (round(px * x + py * y + pz * z, 12), -cell_id)) as cell_id from p join cells on m = map_id group by all) select k as point_id, n.cell_id, round(level, 6) as level from n join lv on lv.map_id = m and lv.cell_id = n.cell_id""",
+    ),
     "f_splitmix64": (
         splitmix,
         f"""with a as (select o_orderkey, ((o_orderkey::hugeint + 42 + 11400714819323198485::hugeint) % {MASK})::ubigint as x from orders), b as (select o_orderkey, xor(x, x >> 30)::ubigint as x from a), c as (select o_orderkey, ((((x >> 32)::hugeint * 13787848793156543929::hugeint % {MASK}) * 4294967296::hugeint % {MASK} + (x & 4294967295)::hugeint * 13787848793156543929::hugeint) % {MASK})::ubigint as x from b),
