@@ -234,8 +234,10 @@ def score(docs: DataFrame, model: Trees | None, *, text: str, keep: dict[str, Co
                 best = cost.argmin(1)
                 over = (cost - cost.min(1, keepdims=True)) * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
                 p = 1 / np.exp2(-np.minimum(over, 200)).sum(1)
-                plain = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-                for k in np.flatnonzero(plain[at[1:]] == plain[at[:-1]]):
+                plain, some = np.zeros(len(n), bool), np.flatnonzero(n)
+                if len(some):
+                    plain[some] = np.logical_or.reduceat(ascii_letter[data], at[some])
+                for k in np.flatnonzero(~plain):
                     if not any(map(str.isalpha, column[int(k)].as_py() or "")):
                         best[k], p[k] = len(langs), 0.0
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(names[best], pa.string()), pa.array(p)], [*kept, "lang_pred", "score"])
