@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 _LOCAL: dict[str, str] = {}
-ROWS_A_FILE = 100_000
+ROWS_A_FILE = 50_000
 #: Ids of 8 bytes that are broadcast at most.
 MOST_BROADCAST = 1_000_000
 
@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="orrery-")
