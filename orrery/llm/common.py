@@ -42,19 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def staged(df: DataFrame, name: str, most_rows: int | None = None, *, files: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here,
     and a lost executor costs a read instead of a recomputation.
 
     Nothing reads the write's shuffles again, so Spark deletes their files when it ends.  A bound on the rows, if known,
     gives the number of files, so that a short table isn't a file for each partition; it is for what comes out of a
-    shuffle, as the last stage gets no more tasks than files.
+    shuffle of no more rows than that, as the last stage gets no more tasks than files.
     """
     spark = df.sparkSession
     if most_rows is not None:
-        files = -(-most_rows // ROWS_A_FILE)
-    if files is not None:
-        df = df.coalesce(max(1, files))
+        df = df.coalesce(max(1, -(-most_rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
