@@ -18,16 +18,21 @@ def visible(altitude: Column, sun: Column, airmass: Column, *, least_altitude: f
     return F.coalesce(C.finite(airmass) & (altitude >= least_altitude) & (sun <= most_sun), F.lit(False))
 
 
-def annual_triggers(events: DataFrame, n: int, *, trigger: str, first: float, last: float, followup: float = 4.0, year: float = SIDEREAL_YEAR) -> DataFrame:
+def annual_triggers(events: DataFrame, n: int, *, trigger: str, first: float, last: float, followup: float = 4.0, year: float = SIDEREAL_YEAR, earliest: int | None = None, whole: bool = True) -> DataFrame:
     """``events`` with scenario (from 0) and mjd: the first n whole sidereal years from the trigger that the survey covers with the follow-up.
 
-    An event that the survey covers fewer times raises an error.
+    Years before the trigger count unless ``earliest`` says from which on.  An event that the survey covers fewer times
+    raises an error, or has the scenarios there are if not ``whole``.
     """
-    k = F.ceil((F.lit(first) - F.col(trigger)) / F.lit(year))
-    held = F.floor((F.lit(last - followup) - F.col(trigger)) / F.lit(year)) - k + 1
-    enough = F.when(held >= n, True).otherwise(F.raise_error(F.concat(F.lit("scenarios covered: "), held.cast("string"))).cast("boolean"))
-    out = events.where(enough).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out.withColumn("mjd", F.col(trigger) + (k + F.col("scenario")) * F.lit(year))
+    k = F.ceil((F.lit(first) - F.col(trigger)) / F.lit(year)) - 1  # a year more at both ends: the dates decide
+    k = k if earliest is None else F.greatest(k, F.lit(earliest))
+    held = F.floor((F.lit(last - followup) - F.col(trigger)) / F.lit(year)) + 1
+    years = F.when(k <= held, F.sequence(k, held)).otherwise(F.array().cast("array<bigint>"))
+    dates = F.filter(F.transform(years, lambda y: F.col(trigger) + y * F.lit(year)), lambda t: (t >= first) & (t + F.lit(followup) <= last))
+    out = events.withColumn("__dates", F.slice(dates, 1, n))
+    if whole:
+        out = out.where(F.when(F.size("__dates") >= n, True).otherwise(F.raise_error(F.concat(F.lit("scenarios covered: "), F.size("__dates").cast("string"))).cast("boolean")))
+    return out.select("*", F.posexplode("__dates").alias("scenario", "mjd")).drop("__dates")
 
 
 def scans(events: DataFrame, windows: DataFrame, *, strategy: dict, overhead: float, change: float) -> DataFrame:
