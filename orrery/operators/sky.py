@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .nearest import half_away, nearest_rows
+
 
 def density() -> Column:
     """Probability per area; cells without area have none."""
@@ -21,7 +23,7 @@ def credible_levels(cells: DataFrame) -> DataFrame:
     steps = d.groupBy("map_id", "density").agg(F.sum("prob").alias("p"))
     w = Window.partitionBy("map_id")
     steps = steps.withColumn("level", F.sum("p").over(w.orderBy(F.desc("density")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("p").over(w)).drop("p")
-    return d.join(steps, ["map_id", "density"])
+    return d.join(steps.hint("merge"), ["map_id", "density"])  # neither side is bounded
 
 
 def credible_area(cells: DataFrame, level: float) -> DataFrame:
@@ -30,16 +32,15 @@ def credible_area(cells: DataFrame, level: float) -> DataFrame:
     return c.groupBy("map_id").agg(F.coalesce(F.sum(F.when(F.col("level") <= level, F.col("area"))), F.max_by("area", F.struct("density", -F.col("cell_id")))).alias("area"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, blocks: int = 8) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Each point (point_id, map_id, px, py, pz) with its map's cell of largest dot product, ties to the smaller cell.
 
-    A map's points are dealt to blocks and its cells copied to each, so that one large map is many tasks.
+    Both are unit vectors, so the largest product (12 digits) belongs to the nearest ones.
     """
-    dot = F.round(F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z"), 12)
-    p = points.withColumn("__block", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int"))
-    c = cells.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    j = p.join(c, ["map_id", "__block"]).select("point_id", "map_id", "cell_id", dot.alias("dot"))
-    return j.groupBy("point_id", "map_id").agg(F.max(F.struct("dot", (-F.col("cell_id")).alias("c"))).alias("b")).select("point_id", "map_id", (-F.col("b.c")).alias("cell_id"))
+    dot = lambda a, b: -half_away(a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2], 12)
+    p = points.select("point_id", "map_id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    near = nearest_rows(p, cells, group="map_id", id_="point_id", key="cell_id", at=["x", "y", "z"], score=dot, slack=2e-6)
+    return near.select("point_id", "map_id", "cell_id")
 
 
 def tiles(cells: DataFrame, fov: float) -> DataFrame:
