@@ -155,4 +155,4 @@ def levels_at(points: DataFrame, cells: DataFrame) -> DataFrame:
     from . import sky
 
     near = sky.nearest_cell(points.dropDuplicates(["point_id", "map_id"]), cells)
-    return near.join(sky.credible_levels(cells).select("map_id", "cell_id", "level"), ["map_id", "cell_id"]).select("point_id", "map_id", "cell_id", "level")
+    return near.join(sky.credible_levels(cells).select("map_id", "cell_id", "level").hint("merge"), ["map_id", "cell_id"]).select("point_id", "map_id", "cell_id", "level")

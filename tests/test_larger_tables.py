@@ -87,3 +87,14 @@ def test_nearest_cells_and_levels(spark, tmp_path):
     against_sql(spark, tmp_path, "sky_nearest_cell", part=part, supplier="select i::bigint as s_suppkey from range(0, 900) t(i)")
     got = against_sql(spark, tmp_path, "sky_levels_at", part=part, customer="select i::bigint as c_custkey, (i % 25)::int as c_nationkey from range(0, 900) t(i)")
     assert len({r[0] for r in got}) == len(got) > 300
+
+
+@pytest.mark.parametrize("name", ["sky_nearest_cell", "sky_levels_at"])
+def test_cells_are_not_broadcast(spark, tmp_path, name):
+    """Files are small for their rows, so a join of a map's points and cells, or levels, would be taken for a small one."""
+    with duckdb.connect() as con:
+        con.execute(f"copy ({PART.format(b='1', s='i % 9 + 1', p='900 + i % 90', n=500)}) to '{tmp_path}/part.parquet'")
+        con.execute(f"copy (select i::bigint as s_suppkey from range(0, 50) t(i)) to '{tmp_path}/supplier.parquet'")
+        con.execute(f"copy (select i::bigint as c_custkey, (i % 25)::int as c_nationkey from range(0, 50) t(i)) to '{tmp_path}/customer.parquet'")
+    out = entry.queries()[name](spark, str(tmp_path))
+    assert out.count() > 0 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
