@@ -129,3 +129,12 @@ def test_caliper_pairs_of_copies(spark, tmp_path):
     assert any(r[2] == 0 and r[3] == 0 for r in got)
     plan = entry.queries()["join_caliper"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "collect_list" in plan
+
+
+def test_dense_windows_are_dealt_to_tasks(spark, tmp_path):
+    """Each event within six hours, ends included, of others' only; a small table does not go to one task for its few bytes."""
+    rows = "select i::bigint as event_id, case when i % 31 <> 0 then i % 7 end as user_id, timestamp '2024-01-01' + to_minutes((i * 11 % 300 * 30)::int) as ts, 'view' as event_type, case when i % 17 <> 0 then (i % 90)::double end as value from range(0, 600) t(i)"
+    got = against_sql(spark, tmp_path, "join_interval_after", events=f"{rows} union all select 1000, 1, null, 'view', 1.0")
+    assert {0, 6 * 3_600_000_000} <= {r[2] for r in got}
+    out = entry.queries()["join_interval_after"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 1 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
