@@ -138,3 +138,44 @@ def test_dense_windows_are_dealt_to_tasks(spark, tmp_path):
     assert {0, 6 * 3_600_000_000} <= {r[2] for r in got}
     out = entry.queries()["join_interval_after"](spark, str(tmp_path))
     assert out.rdd.getNumPartitions() > 1 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_least_cost_pairs_on_a_line_form_no_edges(spark, tmp_path, monkeypatch):
+    """As many pairs and the same sum as over all edges: copies, ends of the caliper, a price that is not whole, one that is none."""
+    import numpy as np
+    from orrery.operators import posterior as P
+    from orrery.plans.tables import load
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(P, "STEPS", 7, raising=False)
+    price = "case when i = 5 then null when i = 6 then 'nan'::double when i % 5 = 1 and i % 3 = 0 then 900 + i / 7.0 else 900 + i * 37 % 90 * 4.1 end"
+    with duckdb.connect() as con:
+        con.execute(f"copy ({PART.format(b='i % 5', s='i * 13 % 50 + 1', p=price, n=600)}) to '{tmp_path}/part.parquet'")
+    out = entry.queries()["srt_least_cost_pairs"](spark, str(tmp_path))
+    assert "__bucket" not in out._jdf.queryExecution().toString()  # the range join's key
+    p = load(spark, str(tmp_path), "part").where("p_retailprice < 1e9")
+    a, b = (p.where(w).select("p_brand", F.col("p_partkey").alias(k), F.col("p_retailprice").alias(x)) for w, k, x in (("p_size <= 25", "i", "x"), ("p_size > 25", "j", "y")))
+    edges = a.join(b, "p_brand").where("y between x - 60 and x + 60").select("p_brand", "i", "j", F.round(F.abs(F.col("x") - F.col("y")), 4).alias("cost"))
+    got, want, every = (df.toPandas() for df in (out, P.matched(edges, by=["p_brand"], most=10_000), edges))
+    assert len(got) == len(want) > 100 and np.isclose(got.cost.sum(), want.cost.sum())
+    assert not got.duplicated("i").any() and not got.duplicated("j").any()
+    assert len(got.merge(every, on=["p_brand", "i", "j", "cost"])) == len(got)
+
+
+@pytest.mark.parametrize("steps", [1, 3, 512])
+def test_line_pairs_are_the_least_of_all(monkeypatch, steps):
+    import numpy as np
+    import pandas as pd
+    from orrery.operators import posterior as P
+
+    monkeypatch.setattr(P, "STEPS", steps)
+    rng = np.random.default_rng(steps)
+    for _ in range(60):
+        (n, m), w, most = rng.integers(1, 9, 2), int(rng.integers(0, 12)), int(rng.integers(3, 40))
+        x, y = np.sort(rng.integers(0, most, n)), np.sort(rng.integers(0, most, m))
+        x = x[[bool((abs(y - v) <= w).any()) for v in x]]
+        if len(x):
+            p, q = P.line_pairs(x, y, np.searchsorted(y, x - w), np.searchsorted(y, x + w, "right"))
+            e = pd.DataFrame([(a, b, float(abs(x[a] - y[b]))) for a in range(len(x)) for b in range(m) if abs(x[a] - y[b]) <= w], columns=["i", "j", "cost"])
+            best = P.cheapest_matching(e, 100)
+            assert len(p) == len(best) and abs(x[p] - y[q]).sum() == best.cost.sum() and len({*p}) == len({*q}) == len(p) and (abs(x[p] - y[q]) <= w).all()
