@@ -179,3 +179,44 @@ def test_line_pairs_are_the_least_of_all(monkeypatch, steps):
             e = pd.DataFrame([(a, b, float(abs(x[a] - y[b]))) for a in range(len(x)) for b in range(m) if abs(x[a] - y[b]) <= w], columns=["i", "j", "cost"])
             best = P.cheapest_matching(e, 100)
             assert len(p) == len(best) and abs(x[p] - y[q]).sum() == best.cost.sum() and len({*p}) == len({*q}) == len(p) and (abs(x[p] - y[q]) <= w).all()
+
+
+def greedy_by_hand(edges, most):
+    used, taken = set(), []
+    for cost, i, j in sorted((c, i, j) for i, j, c in edges):
+        if len(taken) < most and not {i, j} & used:
+            used |= {i, j}
+            taken.append((i, j, cost))
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_greedy_choice_of_many_edges_in_few(spark, most):
+    """Stars whose ends are used early, edges twice, equal costs: the first of each end are enough."""
+    import random
+
+    from orrery.operators import posterior as P
+
+    rng = random.Random(most)
+    edges = [(i, j, float(c)) for i in range(4) for j in range(4, 60) for c in {rng.randrange(3), rng.randrange(3)}]
+    edges += [(i, j, 1.0 + rng.randrange(9)) for i in range(60) for j in range(i + 1, 60) if rng.random() < 0.3]
+    df = spark.createDataFrame([("g", *e) for e in edges], "g string, i int, j int, cost double")
+    out = P.greedy_disjoint(df, by=["g"], most=most)
+    assert sorted((r.i, r.j, r.cost) for r in out.collect()) == greedy_by_hand(edges, most)
+    assert "row_number" in out._jdf.queryExecution().toString()  # a task gets few of the edges
+
+
+def test_greedy_pairs_of_copies(spark, tmp_path):
+    """As over all pairs, with more copies of a part than can be used, and parts that have one or none."""
+    shapes = [("i % 3", "900 + i % 4 * 3", 90), ("3 + i", "950 + i * 1.7", 40), ("20 + i % 2", "990 + i % 9", 60)]
+    rows = " union all ".join(f"select * replace ((p_partkey * 7 % 101 * 10 + {k})::bigint as p_partkey) from ({PART.format(b='1', s=s, p=p, n=n)})" for k, (s, p, n) in enumerate(shapes))
+    with duckdb.connect() as con:
+        con.execute(f"copy ({rows}) to '{tmp_path}/part.parquet'")
+    out = entry.queries()["srt_greedy_disjoint"](spark, str(tmp_path))
+    parts = spark.read.parquet(f"{tmp_path}/part.parquet").collect()
+    want = []
+    for t in {p.p_type for p in parts}:
+        own = [p for p in parts if p.p_type == t]
+        near = [(a.p_partkey, b.p_partkey, round(abs(a.p_retailprice - b.p_retailprice), 4)) for a in own for b in own if a.p_partkey < b.p_partkey and abs(a.p_size - b.p_size) <= 1 and abs(a.p_retailprice - b.p_retailprice) < 5]
+        want += [(t, *e) for e in greedy_by_hand(near, 5)]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) == 15
