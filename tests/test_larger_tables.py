@@ -162,6 +162,14 @@ def test_least_cost_pairs_on_a_line_form_no_edges(spark, tmp_path, monkeypatch):
     assert len(got.merge(every, on=["p_brand", "i", "j", "cost"])) == len(got)
 
 
+def test_least_cost_pairs_are_all_there(spark, tmp_path):
+    """A brand of 10,100 pairs, none of which is left out for the number of its pairs."""
+    with duckdb.connect() as con:
+        con.execute(f"copy ({PART.format(b='1', s='i % 2 * 49 + 1', p='900 + i // 2 * 50', n=20200)}) to '{tmp_path}/part.parquet'")
+    got = entry.queries()["srt_least_cost_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.i, r.j, r.cost) for r in got} == {(k, k + 1, 0.0) for k in range(0, 20200, 2)} and len(got) == 10100
+
+
 @pytest.mark.parametrize("steps", [1, 3, 512])
 def test_line_pairs_are_the_least_of_all(monkeypatch, steps):
     import numpy as np
