@@ -140,6 +140,22 @@ def test_dense_windows_are_dealt_to_tasks(spark, tmp_path):
     assert out.rdd.getNumPartitions() > 1 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dense_windows_shuffle_each_anchor_once(spark, tmp_path):
+    """What lies on disk is each event once and the few candidates once a bucket."""
+    rows = "select i::bigint as event_id, i % 7 as user_id, timestamp '2024-01-01' + to_minutes((i * 11 % 300 * 30)::int) as ts, 'view' as event_type, case when i % 6 = 0 then 1.0 else 90.0 end as value from range(0, 600) t(i)"
+    sc = spark.sparkContext
+    sc.setJobGroup("windows", "")
+    try:
+        got = against_sql(spark, tmp_path, "join_interval_after", events=rows)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r[1] % 6 for r in got} == {0}
+    scala = sc._jsc.sc()
+    scala.listenerBus().waitUntilEmpty(30_000)
+    stages = {k for job in sc.statusTracker().getJobIdsForGroup("windows") for k in sc.statusTracker().getJobInfo(job).stageIds}
+    assert 600 < sum(scala.statusStore().lastStageAttempt(k).shuffleWriteRecords() for k in stages) <= 600 + 3 * 100
+
+
 def test_least_cost_pairs_on_a_line_form_no_edges(spark, tmp_path, monkeypatch):
     """As many pairs and the same sum as over all edges: copies, ends of the caliper, a price that is not whole, one that is none."""
     import numpy as np
